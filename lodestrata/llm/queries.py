@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import mixing, neighbours, tokens
+from lodestrata.llm import mixing, neighbours, pieces, tokens
 from lodestrata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,14 @@ def p2_recall(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.measured_recall(table(spark, d, "points"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.oversized_points(*(table(spark, d, t) for t in ("points", "oversized", "project_config")))
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.oversized_pieces(*(table(spark, d, t) for t in ("points", "oversized", "project_config")))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents"))
 
