@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import mixing, neighbours, pieces, tokens
+from lodestrata.llm import credentials, mixing, neighbours, pieces, tokens
 from lodestrata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.credential_lines(table(spark, d, "points"))
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted_points(table(spark, d, "points"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "points"))
 
