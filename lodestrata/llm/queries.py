@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestrata.llm import credentials, mixing, neighbours, pieces, residue, tokens
+from lodestrata.llm import credentials, mixing, neighbours, pieces, provenance, residue, tokens
 from lodestrata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,14 @@ def p2_recall(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.measured_recall(table(spark, d, "points"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_labels(spark, d).where(F.col("label") != "handwritten").select("point_id")
+
+
+def p3_labels(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.judge_files(table(spark, d, "points"), table(spark, d, "library_files"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.oversized_points(*(table(spark, d, t) for t in ("points", "oversized", "project_config")))
 
