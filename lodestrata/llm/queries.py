@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import credentials, mixing, neighbours, pieces, provenance, residue, tokens
+from lodestrata.llm import credentials, docpairs, mixing, neighbours, pieces, provenance, residue, tokens
 from lodestrata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,14 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.oversized_pieces(*(table(spark, d, t) for t in ("points", "oversized", "project_config")))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.documented_symbols(table(spark, d, "points"))
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.documented_functions(table(spark, d, "points"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents"))
 
