@@ -31,21 +31,22 @@ WORD = regex.compile(r"[^\W\d_][\w'’-]*")
 
 STRINGS = r'"(?:[^"\\\n]++|\\.)*+"|' + r"'(?:[^'\\\n]++|\\.)*+'"
 TEMPLATE = r"`(?:[^`\\]++|\\.)*+`"
+#: Strings and comments stand inline, because a call of a group costs more than the text it protects.
 GROUPS = r"""(?(DEFINE)
- (?<STR>%(strings)s)
- (?<COM>/\*(?:[^*]++|\*(?!/))*+\*/|//[^\n]*+%(hash)s)
- (?<PAR>\((?:[^()"'`/\#]++|(?&STR)|(?&COM)|[/\#]|(?&PAR))*+\))
- (?<SQ>\[(?:[^\[\]"'`/\#]++|(?&STR)|(?&COM)|[/\#]|(?&SQ))*+\])
+ (?<COM>%(comment)s)
+ (?<PAR>\((?:[^()"'`/\#]++|%(inline)s|[/\#]|(?&PAR))*+\))
+ (?<SQ>\[(?:[^\[\]"'`/\#]++|%(inline)s|[/\#]|(?&SQ))*+\])
  (?<ANG><(?:[^<>(){};]++|(?&ANG))*+>)
- (?<BODY>\{(?:[^{}"'`/\#]++|(?&STR)|(?&COM)|[/\#"'`]|(?&BODY))*+\})
 )"""
+BODY = r"(?<BODY>\{(?:[^{}\"'`/\#]++|%(inline)s|[/\#\"'`]|(?&BODY))*+\})"
 NAME = r"[A-Za-z_$][\w$]*+"
 
 
 def pattern(strings: str, hash_comments: bool, notes: str, heads: str) -> regex.Pattern:
     """`notes` are annotations between documentation and declaration, `heads` the signatures."""
     hash_part = r"|\#(?!\[)[^\n]*+" if hash_comments else ""
-    groups = GROUPS % {"strings": strings, "hash": hash_part}
+    comment = r"/\*(?:[^*]++|\*(?!/))*+\*/|//[^\n]*+" + hash_part
+    groups = GROUPS % {"comment": comment, "inline": strings + "|" + comment}
     doc = r"(?<doc>(?&COM)(?:[ \t\r]*+\n[ \t]*+(?&COM))*+)"
     return regex.compile(
         groups + doc + r"(?<gap>(?:[ \t\r]*+\n)?+[ \t]*+(?:(?:" + notes + r")[ \t\r]*+\n?[ \t]*+)*+)(?:" + heads + r")",
@@ -58,10 +59,10 @@ NOT_NAMES = r"(?!(?:if|for|while|switch|catch|return|else|new|throw|do|try|case|
 # regular expression literals of JavaScript count as strings where an operand is expected
 REGEXP = r"(?<=[(,=:\[!&|?{};+\n]\s{0,3})/(?![*/])(?:[^/\\\n\[]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
 SCRIPT_HEADS = (
-    r"(?<sig>(?:export\s++(?:default\s++)?+)?+(?:declare\s++)?+(?:async\s++)?+function\b\s*+\*?\s*+(?<name>" + NAME + r")\s*+(?&ANG)?+\s*+(?&PAR)(?:\s*+:[^{};=]++)?+)\s*+(?=(?<body>(?&BODY)|;)?)"
-    r"|(?<sig2>(?:export\s++)?+(?:const|let|var)\s++(?<name2>" + NAME + r")\s*+(?::(?:[^=;{}]++|=>|(?&BODY))*+)?+=\s*+(?:async\b\s*+)?+(?:function\b\s*+\*?\s*+(?:" + NAME + r")?\s*+(?&PAR)(?:\s*+:[^{};=]++)?+|(?&ANG)?+\s*+(?&PAR)(?:\s*+:(?:[^=;{}]++|(?&BODY))++)?+\s*+=>|" + NAME + r"\s*+=>))\s*+(?=(?<body2>(?&BODY))?)"
-    r"|(?<sig3>" + MODIFIERS + r"(?:(?:get|set)\s++(?=[\w$#\[]))?+\*?\s*+" + NOT_NAMES + r"(?<name3>\#?" + NAME + r")\s*+\??(?&ANG)?+\s*+(?&PAR)(?:\s*+:(?:[^{};=]++|(?&BODY)(?=\s*+[{;]))*+)?+)\s*+(?=(?<body3>(?&BODY)|;))"
-    r"|(?<sig4>" + MODIFIERS + NOT_NAMES + r"(?<name4>\#?" + NAME + r")\s*+(?::[^=;{}]++)?+=\s*+(?:async\b\s*+)?+(?&PAR)(?:\s*+:[^=;{}]++)?+\s*+=>)\s*+(?=(?<body4>(?&BODY))?)"
+    r"(?<sig>(?:export\s++(?:default\s++)?+)?+(?:declare\s++)?+(?:async\s++)?+function\b\s*+\*?\s*+(?<name>" + NAME + r")\s*+(?&ANG)?+\s*+(?&PAR)(?:\s*+:[^{};=]++)?+)"
+    r"|(?<sig2>(?:export\s++)?+(?:const|let|var)\s++(?<name2>" + NAME + r")\s*+(?::(?:[^=;{}]++|=>|\{[^{}]*+\})*+)?+=\s*+(?:async\b\s*+)?+(?:function\b\s*+\*?\s*+(?:" + NAME + r")?\s*+(?&PAR)(?:\s*+:[^{};=]++)?+|(?&ANG)?+\s*+(?&PAR)(?:\s*+:(?:[^=;{}]++|\{[^{}]*+\})++)?+\s*+=>|" + NAME + r"\s*+=>))"
+    r"|(?<sig3>" + MODIFIERS + r"(?:(?:get|set)\s++(?=[\w$#\[]))?+\*?\s*+" + NOT_NAMES + r"(?<name3>\#?" + NAME + r")\s*+\??(?&ANG)?+\s*+(?&PAR)(?:\s*+:(?:[^{};=]++|\{[^{}]*+\}(?=\s*+[{;]))*+)?+)(?=\s*+[{;])"
+    r"|(?<sig4>" + MODIFIERS + NOT_NAMES + r"(?<name4>\#?" + NAME + r")\s*+(?::[^=;{}]++)?+=\s*+(?:async\b\s*+)?+(?&PAR)(?:\s*+:[^=;{}]++)?+\s*+=>)"
 )
 SCRIPT = pattern(STRINGS + "|" + TEMPLATE + "|" + REGEXP, False, r"@[\w.]++(?&PAR)?+", SCRIPT_HEADS)
 JAVA_TYPE = r"(?!(?:return|new|else|throw|case|package|import|assert)\b)[\w.]++(?:(?&ANG))?+(?:\[\])*+"
@@ -69,19 +70,19 @@ JAVA = pattern(
     r'"""(?:[^"\\]++|\\.|"(?!""))*+"""|' + STRINGS,
     False,
     r"@(?!interface\b)[\w.]++\s*+(?&PAR)?+",
-    r"(?<sig>(?:(?:@[\w.]++(?&PAR)?+\s++)*+" + MODIFIERS + r")(?:(?&ANG)\s*+)?+(?:" + JAVA_TYPE + r"\s++)?+" + NOT_NAMES + r"(?<name>[A-Za-z_$][\w$]*+)\s*+(?&PAR)(?:\s*+\[\])*+(?:\s*+throws\s++[\w.,\s]++)?+)\s*+(?=(?<body>(?&BODY)|;))",
+    r"(?<sig>(?:(?:@[\w.]++(?&PAR)?+\s++)*+" + MODIFIERS + r")(?:(?&ANG)\s*+)?+(?:" + JAVA_TYPE + r"\s++)?+" + NOT_NAMES + r"(?<name>[A-Za-z_$][\w$]*+)\s*+(?&PAR)(?:\s*+\[\])*+(?:\s*+throws\s++[\w.,\s]++)?+)(?=\s*+[{;])",
 )
 PHP = pattern(
     STRINGS + r"|<<<[ \t]*+(?<hq>['\"]?)(?<here>\w++)(?P=hq)[^\n]*+\n(?:(?!\s*+(?P=here)\b)[^\n]*+\n)*+\s*+(?P=here)\b",
     True,
     r"\#(?&SQ)",
-    r"(?<sig>(?:(?:abstract|final|public|protected|private|static|readonly)\s++)*+function\s++&?(?<name>[A-Za-z_\x80-\U0010ffff][\w]*+)\s*+(?&PAR)(?:\s*+:\s*+[\w\\?|&()\s]+?)?)\s*+(?=(?<body>(?&BODY)|;))",
+    r"(?<sig>(?:(?:abstract|final|public|protected|private|static|readonly)\s++)*+function\s++&?(?<name>[A-Za-z_\x80-\U0010ffff][\w]*+)\s*+(?&PAR)(?:\s*+:\s*+[\w\\?|&()\s]+?)?)(?=\s*+[{;])",
 )
 GO = pattern(
     STRINGS + "|" + TEMPLATE,
     False,
     r"(?!)",
-    r"(?<sig>func\s*+(?:\(\s*+(?:\w++\s++)?+\*?\s*+(?<recv>\w++)(?:\[[^\]]*+\])?+\s*+\)\s*+)?+(?<name>\w++)\s*+(?&SQ)?+\s*+(?&PAR)[^{\n]*+)(?=(?<body>(?&BODY))?)",
+    r"(?<sig>func\s*+(?:\(\s*+(?:\w++\s++)?+\*?\s*+(?<recv>\w++)(?:\[[^\]]*+\])?+\s*+\)\s*+)?+(?<name>\w++)\s*+(?&SQ)?+\s*+(?&PAR)[^{\n]*+)",
 )
 PY_STRINGS = r'[rRbBuUfF]{0,2}"""(?:[^"\\]++|\\.|"(?!""))*+"""|' + r"[rRbBuUfF]{0,2}'''(?:[^'\\]++|\\.|'(?!''))*+'''|[rRbBuUfF]{0,2}\"(?:[^\"\\\n]++|\\.)*+\"|[rRbBuUfF]{0,2}'(?:[^'\\\n]++|\\.)*+'"
 PYTHON = regex.compile(
@@ -94,7 +95,10 @@ PYTHON = regex.compile(
 LANGUAGES = {"js": "script", "jsx": "script", "mjs": "script", "ts": "script", "tsx": "script", "java": "java", "php": "php", "go": "go", "py": "python"}
 BY_NAME = {"javascript": "js", "typescript": "ts", "java": "java", "php": "php", "go": "go", "golang": "go", "python": "py", "js": "js", "ts": "ts", "py": "py"}
 BRACED = {"script": SCRIPT, "java": JAVA, "php": PHP, "go": GO}
-BODY_AT = {k: regex.compile(GROUPS % {"strings": s, "hash": r"|\#(?!\[)[^\n]*+" if k == "php" else ""} + r"[^{;]*+(?&BODY)", regex.X | regex.S) for k, s in (("script", STRINGS + "|" + TEMPLATE), ("java", r'"""(?:[^"\\]++|\\.|"(?!""))*+"""|' + STRINGS), ("php", STRINGS), ("go", STRINGS + "|" + TEMPLATE))}
+BODY_AT = {
+    k: regex.compile(r"[^{;]*+" + BODY % {"inline": strings + r"|/\*(?:[^*]++|\*(?!/))*+\*/|//[^\n]*+" + (r"|\#(?!\[)[^\n]*+" if k == "php" else "")}, regex.S)
+    for k, strings in (("script", STRINGS + "|" + TEMPLATE + "|" + REGEXP), ("java", r'"""(?:[^"\\]++|\\.|"(?!""))*+"""|' + STRINGS), ("php", STRINGS), ("go", STRINGS + "|" + TEMPLATE))
+}
 
 
 def described(comment: str) -> str:
@@ -231,7 +235,9 @@ def _braced(text: str, kind: str) -> Iterator[tuple[str, str, str, int]]:
         which = next((s for s in ("", "2", "3", "4") if f"sig{s}" in m.groupdict() and m[f"sig{s}"] is not None), None)
         if which is None:
             continue
-        name, body, sig = m[f"name{which}"], m[f"body{which}"] or "", m[f"sig{which}"]
+        name, sig = m[f"name{which}"], m[f"sig{which}"]
+        whole = BODY_AT[kind].match(text, m.end())
+        body = whole[0] if whole else ";" if text[m.end() : m.end() + 40].lstrip()[:1] == ";" else ""
         at = m.start(f"sig{which}")
         done = begin
         owner = next((t for t in reversed(types) if t[0] < at < t[1]), None)
