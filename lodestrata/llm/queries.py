@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import credentials, docpairs, mixing, neighbours, pieces, provenance, residue, tokens
+from lodestrata.llm import credentials, docpairs, mixing, neighbours, pieces, provenance, residue, syntax, tokens
 from lodestrata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,18 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.documented_functions(table(spark, d, "points"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_files(table(spark, d, "points"))
+
+
+def p6_files(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.judge_files(table(spark, d, "points")).dropDuplicates(["point_id"])
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_rates(table(spark, d, "points"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents"))
 
