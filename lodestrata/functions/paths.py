@@ -42,4 +42,4 @@ def extract_module(path: Column | str) -> Column:
 def normal_path(path: Column | str) -> Column:
     """Forward slashes, one at a time, no leading `./` or `/` and no trailing slash."""
     p = F.regexp_replace(F.replace(_c(path), F.lit("\\"), F.lit("/")), "/+", "/")
-    return F.regexp_replace(F.regexp_replace(p, r"(?<![^/])\./", ""), "^/|/$", "")
+    return F.regexp_replace(F.regexp_replace(p, r"(^|/)(\./)+", "$1"), "^/|/$", "")

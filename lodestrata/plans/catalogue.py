@@ -1,17 +1,349 @@
-"""The catalogue of registered queries and their SQL."""
+"""The catalogue of registered queries: name -> (spark, folder of tables) -> DataFrame. All run over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lodestrata.functions import ids
+from lodestrata.functions.filters import excluded, included
+from lodestrata.functions.paths import detect_language, extract_module, normal_path
+from lodestrata.operators import chunks as c
+from lodestrata.operators import manifest as m
+from lodestrata.operators import reports, search, store
+from lodestrata.operators.code_chunks import code_chunks
+from lodestrata.operators.embed import Hashing, batches, embed
+from lodestrata.plans import index, service
+from lodestrata.plans.catalogue_sql import ARROW_HEAD, CLASS_HEAD, DEFAULT_HEAD, ENUM_HEAD, FUNCTION_HEAD, INTERFACE_HEAD, SQL, TYPE_HEAD
+from lodestrata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+PROJECT = "orchid-core"
+QUERY_ID = 3
+CHUNK_OUT = ["project_id", "file_path", "symbol", "symbol_type", "language", "module", "start_line", "end_line", "token_count", "content_hash", "chunk_id"]
+
+
+# -- inputs
+def files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files."""
+    rows = table(spark, d, "documents").where("text is not null and project_id is not null and file_path is not null")
+    rows = rows.select("project_id", normal_path("file_path").alias("file_path"), "text")
+    return rows.withColumns({"language": detect_language("file_path"), "module": extract_module("file_path")})
+
+
+def whole_files(spark: SparkSession, d: str) -> DataFrame:
+    """Whole-file payloads of points, one row a file, with the hash of their content."""
+    rows = table(spark, d, "points").where("symbol_type = 'file' and content is not null and project_id is not null and file_path is not null")
+    rows = rows.select("project_id", normal_path("file_path").alias("file_path"), "content")
+    return rows.groupBy("project_id", "file_path").agg(F.max(ids.content_hash("content")).alias("file_hash"))
+
+
+def code_files(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "points").where("symbol_type = 'file' and content is not null and project_id is not null and file_path is not null")
+    rows = rows.dropDuplicates(["point_id"]).select("project_id", normal_path("file_path").alias("file_path"), F.col("content").alias("text"))
+    return rows.withColumns({"language": detect_language("file_path"), "module": extract_module("file_path")})
+
+
+def current_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "points").where("chunk_id is not null and content_hash is not null and project_id is not null and file_path is not null")
+    rows = rows.select("project_id", normal_path("file_path").alias("file_path"), "chunk_id", "content_hash", F.coalesce("start_line", F.lit(0)).alias("line"))
+    return rows.groupBy("project_id", "file_path", "chunk_id").agg(F.max("content_hash").alias("content_hash"), F.min("line").alias("position"))
+
+
+def one_query(spark: SparkSession, d: str, query_id: int = QUERY_ID) -> list[float]:
+    return list(table(spark, d, "search_query").where(F.col("query_id") == query_id).first()["vector"])
+
+
+def manifest(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "manifest")
+
+
+# -- scan
+def scan_files(spark, d):
+    return files(spark, d).select("project_id", "file_path", F.octet_length("text").alias("n_bytes"))
+
+
+def filter_include_ext(spark, d):
+    rules = table(spark, d, "project_config").select("project_id", "include_extensions")
+    return files(spark, d).join(rules, "project_id").where(included(F.col("file_path"), F.col("include_extensions"))).select("project_id", "file_path")
+
+
+def filter_exclude_path(spark, d):
+    rules = table(spark, d, "project_config").select("project_id", "exclude_paths")
+    rows = table(spark, d, "points").where("project_id is not null and file_path is not null").select("project_id", normal_path("file_path").alias("file_path")).distinct()
+    return rows.join(rules, "project_id").where(excluded(F.col("file_path"), F.col("exclude_paths"))).select("project_id", "file_path")
+
+
+def file_language(spark, d):
+    return files(spark, d).select("project_id", "file_path", "language")
+
+
+def file_module(spark, d):
+    return files(spark, d).select("project_id", "file_path", "module")
+
+
+def file_hash(spark, d):
+    return files(spark, d).select("project_id", "file_path", ids.content_hash("text").alias("file_hash"))
+
+
+# -- ids
+def chunk_id(spark, d):
+    rows = table(spark, d, "points").select("point_id", ids.chunk_id("project_id", normal_path("file_path"), "symbol", "content_hash").alias("made_id"))
+    return rows.distinct()
+
+
+def point_id(spark, d):
+    return table(spark, d, "points").where("chunk_id is not null").select("chunk_id", ids.point_id("chunk_id").alias("made_id")).distinct()
+
+
+def token_estimates(spark, d):
+    rows = table(spark, d, "points").where("content is not null")
+    return rows.select("point_id", ids.index_tokens("content").alias("index_tokens"), ids.report_tokens("content").alias("report_tokens")).distinct()
+
+
+def effective_chunking(spark, d):
+    return table(spark, d, "project_config").select("project_id", ids.override("min_tokens", ids.MIN_TOKENS).alias("min_tokens"), ids.override("ideal_tokens", ids.IDEAL_TOKENS).alias("ideal_tokens"), ids.override("max_tokens", ids.MAX_TOKENS).alias("max_tokens"))
+
+
+def topk_clamp(spark, d):
+    return table(spark, d, "search_query").select("query_id", ids.clamp_top_k("top_k").alias("k"))
+
+
+# -- chunks
+def chunk_whole_file(spark, d):
+    return c.whole_files(files(spark, d)).select(*CHUNK_OUT)
+
+
+def chunk_fixed(spark, d):
+    return c.fixed(files(spark, d)).select(*CHUNK_OUT)
+
+
+def chunk_dispatch(spark, d):
+    return files(spark, d).select("project_id", "file_path", c.strategy().alias("strategy"))
+
+
+def chunk_files(spark, d):
+    return index.chunk_files(files(spark, d)).select(*CHUNK_OUT)
+
+
+def _markdown(spark, d):
+    return files(spark, d).where(c.strategy() == "markdown")
+
+
+def chunk_markdown_sections(spark, d):
+    return c.markdown_sections(_markdown(spark, d)).select(*CHUNK_OUT)
+
+
+def chunk_markdown_merged(spark, d):
+    return c.markdown_merged(_markdown(spark, d)).select(*CHUNK_OUT)
+
+
+def _code(kind: str, merge: bool) -> Query:
+    return lambda spark, d: code_chunks(code_files(spark, d).where(c.strategy() == kind), kind, merge).select(*CHUNK_OUT)
+
+
+def symbol_dedupe_priority(spark, d):
+    """The kind that a line's declaration counts as, of all that match it."""
+    kinds = [("class", CLASS_HEAD), ("interface", INTERFACE_HEAD), ("enum", ENUM_HEAD), ("type", TYPE_HEAD), ("function", FUNCTION_HEAD), ("arrow_function", ARROW_HEAD), ("export_default", DEFAULT_HEAD)]
+    lines = code_files(spark, d).where(c.strategy() == "typescript").select("project_id", "file_path", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    tried = F.array(*(F.when(F.col("line").rlike(p), F.struct(F.lit(i).alias("priority"), F.lit(k).alias("symbol_type"), F.regexp_extract("line", p, 1).alias("symbol"))) for i, (k, p) in enumerate(kinds)))
+    found = lines.where(F.col("line").rlike("^(export|class|abstract|interface|enum|const|type|function|async|let|var)\\b")).select("project_id", "file_path", (F.col("n") + 1).alias("line_no"), F.explode(tried).alias("x")).where("x is not null and x.symbol <> ''")
+    first = F.row_number().over(Window.partitionBy("project_id", "file_path", "line_no").orderBy("x.priority"))
+    return found.withColumn("r", first).where("r = 1").select("project_id", "file_path", "line_no", "x.symbol_type", "x.symbol")
+
+
+# -- differences and manifest
+def diff_changed_files(spark, d):
+    return m.changed_files(whole_files(spark, d), manifest(spark, d)).select("project_id", "file_path", "file_hash")
+
+
+def diff_skipped_files(spark, d):
+    return m.skipped_files(whole_files(spark, d), manifest(spark, d)).select("project_id", "file_path", "file_hash")
+
+
+def _scanned(spark, d):
+    return table(spark, d, "points").where("project_id is not null and file_path is not null").select("project_id", normal_path("file_path").alias("file_path")).distinct()
+
+
+def diff_deleted_files(spark, d):
+    return m.deleted_files(_scanned(spark, d), manifest(spark, d))
+
+
+def purge_deleted_chunks(spark, d):
+    return m.purged_chunks(_scanned(spark, d), manifest(spark, d))
+
+
+def diff_changed_chunks(spark, d):
+    return m.changed_chunks(current_chunks(spark, d), manifest(spark, d)).select("project_id", "file_path", "chunk_id", "content_hash")
+
+
+def diff_stale_chunks(spark, d):
+    return m.stale_chunks(current_chunks(spark, d), manifest(spark, d))
+
+
+def manifest_upsert(spark, d):
+    new = m.upsert(current_chunks(spark, d), whole_files(spark, d), manifest(spark, d))
+    rows = new.select("project_id", "file_path", "file_hash", "chunk_hashes", F.posexplode_outer("chunk_ids").alias("position", "chunk_id"))
+    return rows.select("project_id", "file_path", "file_hash", "position", "chunk_id", F.try_element_at("chunk_hashes", F.col("chunk_id")).alias("chunk_hash"))
+
+
+def manifest_explode(spark, d):
+    return m.chunk_entries(manifest(spark, d))
+
+
+def manifest_stats(spark, d):
+    return m.stats(manifest(spark, d))
+
+
+def manifest_roundtrip(spark, d):
+    """Through JSON and back, as manifests are exchanged."""
+    own = manifest(spark, d)
+    text = own.select(F.to_json(F.struct(*own.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("j"))
+    back = text.select(F.from_json("j", own.schema, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("r")).select("r.*")
+    return m.chunk_entries(back)
+
+
+# -- store
+STORE_OUT = ["point_id", "start_line", "content_hash"]
+CUTOFF = "2025-11-15 00:00:00"
+
+
+def _existing(spark, d):
+    return search.one_per_point(table(spark, d, "points").where(F.col("indexed_at") < F.lit(CUTOFF).cast("timestamp")))
+
+
+def vector_upsert(spark, d):
+    new = table(spark, d, "points").where(~(F.coalesce(F.col("indexed_at") < F.lit(CUTOFF).cast("timestamp"), F.lit(False))))
+    return store.upsert(_existing(spark, d), new).select(*STORE_OUT)
+
+
+def vector_delete_ids(spark, d):
+    gone = table(spark, d, "points").where("symbol_type = 'heading'").select("point_id")
+    return store.delete_ids(_existing(spark, d), gone).select(*STORE_OUT)
+
+
+def vector_delete_project(spark, d):
+    return store.delete_by_filter(_existing(spark, d), search.Filter(PROJECT)).select(*STORE_OUT)
+
+
+def full_reindex(spark, d):
+    """One project dropped and put in anew from its whole files."""
+    kept = store.delete_by_filter(_existing(spark, d), search.Filter(PROJECT))
+    anew = search.one_per_point(table(spark, d, "points").where((F.col("project_id") == PROJECT) & (F.col("symbol_type") == "file")))
+    return store.upsert(kept, anew).select(*STORE_OUT)
+
+
+# -- search
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("point_id", "project_id", "symbol", F.round("score", 6).alias("score"))
+
+
+def vector_topk(spark, d):
+    return _rounded(search.top_k(table(spark, d, "points"), one_query(spark, d), 10))
+
+
+def vector_topk_filtered(spark, d):
+    return _rounded(search.top_k(table(spark, d, "points"), one_query(spark, d), 10, search.Filter(PROJECT, symbol_type="function")))
+
+
+def vector_topk_threshold(spark, d):
+    return _rounded(search.top_k(table(spark, d, "points"), one_query(spark, d), 20, search.Filter(PROJECT), 0.3))
+
+
+def vector_topk_batch(spark, d):
+    found = search.batch_top_k(table(spark, d, "points"), table(spark, d, "search_query"))
+    return found.select("query_id", "rank", "point_id", F.round("score", 6).alias("score"))
+
+
+# -- embedding
+def _distinct_chunks(spark, d):
+    return table(spark, d, "points").where("chunk_id is not null and project_id is not null").select("chunk_id", "project_id").dropDuplicates(["chunk_id"])
+
+
+def embed_batches(spark, d):
+    rows = table(spark, d, "points").where("chunk_id is not null and project_id is not null").groupBy("chunk_id").agg(F.max("project_id").alias("project_id"))
+    return batches(rows)
+
+
+def embed_vectors(spark, d):
+    return embed(c.fixed(files(spark, d)), Hashing()).select("chunk_id", "content_hash", "vector")
+
+
+# -- reports
+def _unique_points(spark, d):
+    return search.one_per_point(table(spark, d, "points").where("content is not null").select("point_id", "project_id", "file_path", "symbol", "content", "indexed_at", "start_line"))
+
+
+def oversized_chunks(spark, d):
+    return reports.oversized_chunks(_unique_points(spark, d))
+
+
+def oversized_report(spark, d):
+    return reports.oversized_report(oversized_chunks(spark, d))
+
+
+def index_project_summary(spark, d):
+    f, k, mm = whole_files(spark, d), current_chunks(spark, d), manifest(spark, d)
+    return reports.run_counters(f, m.changed_files(f, mm), m.skipped_files(f, mm), m.deleted_files(_scanned(spark, d), mm), m.changed_chunks(k, mm), m.stale_chunks(k, mm), oversized_chunks(spark, d).where("project_id is not null"))
+
+
+def index_all_summary(spark, d):
+    return reports.totals(index_project_summary(spark, d))
+
+
+def progress_stats(spark, d):
+    return reports.progress(files(spark, d).select((F.octet_length("text") / 1000).alias("seconds")), 100)
+
+
+def list_projects(spark, d):
+    return reports.list_projects(table(spark, d, "points"))
+
+
+# -- service
+def _with_payload(spark, d):
+    points = table(spark, d, "points")
+    found = search.batch_top_k(points, table(spark, d, "search_query"))
+    payload = search.one_per_point(points.select("point_id", *search.PAYLOAD, "indexed_at"))
+    return service.project_results(found.join(payload, "point_id"))
+
+
+def retrieve_projection(spark, d):
+    return _with_payload(spark, d).withColumn("score", F.round("score", 6))
+
+
+def render_results_markdown(spark, d):
+    rows = _with_payload(spark, d).withColumn("score", F.round("score", 6))
+    return rows.select("query_id", "rank", service.markdown_row().alias("markdown"))
+
+
+def retrieve_end_to_end(spark, d):
+    """Documents cut, embedded locally and searched for one question within the largest project."""
+    embedded = index.as_points(embed(c.fixed(files(spark, d)), Hashing()))
+    return service.retrieve(embedded, service.Request(PROJECT, "Which service compares the webhook with the ledger and reports rows?"), Hashing())
+
+
+QUERIES = [
+    scan_files, filter_include_ext, filter_exclude_path, file_hash, chunk_id, point_id, token_estimates, effective_chunking, topk_clamp,
+    chunk_whole_file, chunk_fixed, chunk_dispatch, chunk_files, chunk_markdown_sections, chunk_markdown_merged, symbol_dedupe_priority,
+    diff_changed_files, diff_skipped_files, diff_deleted_files, purge_deleted_chunks, diff_changed_chunks, diff_stale_chunks,
+    manifest_upsert, manifest_explode, manifest_stats, manifest_roundtrip, vector_upsert, vector_delete_ids, vector_delete_project, full_reindex,
+    vector_topk, vector_topk_filtered, vector_topk_threshold, vector_topk_batch, embed_batches, embed_vectors,
+    oversized_chunks, oversized_report, index_project_summary, index_all_summary, progress_stats, list_projects,
+    retrieve_projection, render_results_markdown, retrieve_end_to_end,
+]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    named = {f.__name__: f for f in QUERIES}
+    named |= {"detect_language": file_language, "extract_module": file_module}
+    for kind, name in (("typescript", "chunk_typescript"), ("php", "chunk_php"), ("go", "chunk_go")):
+        named[name] = _code(kind, False)
+        named["chunk_ts_merged" if kind == "typescript" else f"{name}_merged"] = _code(kind, True)
+    return named
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
