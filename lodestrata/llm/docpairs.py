@@ -155,8 +155,8 @@ def pairs(text: str, kind: str) -> Iterator[tuple[str, str, str, int]]:
 JAVA_WORDS = frozenset("public private protected internal static final abstract synchronized native default strictfp".split())
 #: Quick tests by the plain engine for where a documented declaration or a type may begin; the recursive patterns decide.
 NEXT_HEAD = {
-    "script": r"(?:export|declare|async|function|const|let|var|static|public|private|protected|readonly|abstract|override|get|set)\b|[#\w$*]+[^\n;]*(?:\{|\(|,|=>)[ \t\r]*$|[#\w$]+\([^\n]*\)[^\n]*;[ \t\r]*$",
-    "java": r"(?:public|private|protected|static|final|abstract|default|synchronized|native|void)\b|[\w<>\[\], .]+\([^\n]*(?:\{|,|\(|\))[ \t\r]*$|[\w<>\[\]., ]+ \w+\([^\n]*\)[^\n]*;[ \t\r]*$",
+    "script": r"(?:export|declare|async|function|const|let|var|static|public|private|protected|readonly|abstract|override|get|set)\b|[#\w$*]+[^\n;]*(?:\{|\(|,|=>)[ \t\r]*$|[#\w$*]+\([^\n]*[};][ \t\r]*$",
+    "java": r"(?:public|private|protected|static|final|abstract|default|synchronized|native|void)\b|[\w<>\[\], .]+\([^\n]*(?:\{|\}|,|\(|\))[ \t\r]*$|[\w<>\[\]., ]+ \w+\([^\n]*\)[^\n]*;[ \t\r]*$",
     "php": r"(?:(?:abstract|final|public|protected|private|static|readonly)\s+)*function\b",
     "go": r"func\b",
 }

@@ -21,7 +21,7 @@ def make(seed=1, size=700):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(12, 48))
     rows = [(f"p{i:04d}", "big" if i % 3 else f"s{i % 7}", (centres[i % 12] + rng.normal(size=48) * 0.6).astype(np.float32).tolist()) for i in range(size)]
-    rows += [(f"near{i}", "big", (np.float32(rows[i * 3 + 1][2]) + rng.normal(size=48) * 0.02).astype(np.float32).tolist()) for i in range(40)]
+    rows += [(f"near{i}", "big", (np.float32(rows[i * 3 + 1][2]) + rng.normal(size=48) * 0.02).astype(np.float32).tolist()) for i in range(min(40, size // 4))]
     return rows
 
 
