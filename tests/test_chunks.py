@@ -101,7 +101,7 @@ function Button({ label }: P) {
 
 def test_typescript(spark):
     df = k.code_chunks(files(spark, ("s/m.ts", SCRIPT)), "typescript")
-    assert [x[:4] for x in found(df)] == [("add", "function", 2, 5), ("Basket", "class", 12, 14), ("Kind", "type", 16, 16), ("go", "arrow_function", 18, 20), ("Button", "function", 22, 22)]
+    assert [x[:4] for x in found(df)] == [("add", "function", 2, 5), ("Basket", "class", 13, 15), ("Kind", "type", 17, 17), ("go", "arrow_function", 19, 21), ("Button", "function", 23, 23)]
 
 
 def test_typescript_fallback_and_default(spark):
