@@ -63,30 +63,25 @@ def fixed(files: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     return whole_files(files, max_tokens).unionByName(fragments(files, max_tokens))
 
 
-HEADING = r"(?d)^(#{1,6})[\t\n\f\r ]+(.+)$"
+HEADING = r"(?d)^(#{1,6})[\t\f\r ]+([^\n]+)"
 
 
 def _sections(files: DataFrame) -> DataFrame:
-    """files with `sections`, an array of (nth, heading, level, start_line, end_line, content)."""
-    rows = files.where(F.col("text").isNotNull()).withColumn("lines", F.split("text", "\n"))
-    heads = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(HEADING), i + 1)), lambda x: x.isNotNull())
-    # text before the first heading is a section of its own; an empty file has one empty line
-    starts = F.when(F.coalesce(F.element_at(heads, 1) == 1, F.lit(False)), heads).otherwise(F.concat(F.array(F.lit(1)), heads))
-    rows = rows.withColumn("starts", F.when(F.size(heads) == 0, F.array(F.lit(1))).otherwise(starts))
-
-    def section(s: Column, i: Column) -> Column:
-        end = F.when(i + 1 < F.size("starts"), F.get(F.col("starts"), i + 1) - 1).otherwise(F.size("lines"))
-        line = F.element_at("lines", s)
-        return F.struct(
-            i.cast("int").alias("nth"),
-            F.when(line.rlike(HEADING), F.regexp_extract(line, HEADING, 2)).otherwise(F.lit("(intro)")).alias("heading"),
-            F.length(F.regexp_extract(line, HEADING, 1)).alias("level"),
-            s.cast("int").alias("start_line"),
-            end.cast("int").alias("end_line"),
-            F.array_join(F.slice("lines", s, end - s + 1), "\n").alias("content"),
-        )
+    """files with `parts`, the text of each section, and `counts`, their numbers of lines.
+
+    One split before each heading does it; text before the first heading is a section of its own. Nothing is looked up
+    in the arrays from within a lambda, because Catalyst would put the whole split in its place.
+    """
+    rows = files.where(F.col("text").isNotNull()).withColumn("parts", F.split("text", r"\n(?=#{1,6}[\t\f\r ][^\n])"))
+    return rows.withColumn("counts", F.transform("parts", lambda p: F.size(F.split(p, "\n"))))
+
+
+def _lines_before(nth: Column) -> Column:
+    return F.aggregate(F.slice("counts", F.lit(1), nth), F.lit(0), lambda a, x: a + x)
+
 
-    return rows.withColumn("sections", F.transform("starts", section)).drop("lines", "starts")
+def _name(part: Column) -> Column:
+    return F.when(part.rlike(HEADING), F.regexp_extract(part, HEADING, 2)).otherwise(F.lit("(intro)"))
 
 
 def _as_markdown(rows: DataFrame) -> DataFrame:
@@ -95,8 +90,9 @@ def _as_markdown(rows: DataFrame) -> DataFrame:
 
 def markdown_sections(files: DataFrame) -> DataFrame:
     """One chunk per heading; fences are not looked at, so a `# x` in a code block opens a section too."""
-    rows = _sections(files).select("project_id", "file_path", "module", F.explode("sections").alias("s"))
-    return _as_markdown(rows.select("project_id", "file_path", "module", F.col("s.heading").alias("symbol"), "s.start_line", "s.end_line", "s.content"))
+    rows = _sections(files).select("project_id", "file_path", "module", "counts", F.posexplode_outer("parts").alias("nth", "content"))
+    start = _lines_before(F.col("nth")) + 1
+    return _as_markdown(rows.select("project_id", "file_path", "module", _name(F.col("content")).alias("symbol"), start.alias("start_line"), (start + F.get("counts", F.col("nth")) - 1).alias("end_line"), "content"))
 
 
 def markdown_merged(files: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -106,13 +102,14 @@ def markdown_merged(files: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame
     section that names it; their text is built once afterwards.
     """
     rows = _sections(files)
-    sizes = F.transform("sections", lambda s: F.octet_length(s["content"]))
+    sizes = F.transform("parts", F.octet_length)
     start = F.struct(
         F.array().cast("array<struct<s:int,e:int,a:int>>").alias("runs"),
         F.lit(0).alias("bytes"),  # of the last run
         F.lit(-1).alias("held"),  # first section that waits for the next one
         F.lit(0).alias("held_bytes"),
         F.lit(0).alias("i"),
+        F.size("parts").alias("n"),
     )
 
     def run(s: Column, e: Column, a: Column) -> Column:
@@ -126,7 +123,7 @@ def markdown_merged(files: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame
         small = F.floor(own / 4) < min_tokens
         has_run = F.size(runs) > 0
         joins = small & has_run
-        waits = small & ~has_run & (i < F.size("sections") - 1)
+        waits = small & ~has_run & (i < acc["n"] - 1)
         last = F.element_at(runs, -1)
         grown = F.concat(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))), F.array(run(last["s"], i, last["a"])))
         return F.struct(
@@ -135,15 +132,15 @@ def markdown_merged(files: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame
             F.when(waits, first).otherwise(F.lit(-1)).cast("int").alias("held"),
             F.when(waits, own).otherwise(F.lit(0)).cast("int").alias("held_bytes"),
             (i + 1).cast("int").alias("i"),
+            acc["n"].alias("n"),
         )
 
-    rows = rows.withColumn("runs", F.aggregate(sizes, start, step)["runs"]).select("project_id", "file_path", "module", "sections", F.explode("runs").alias("r"))
-    part = F.slice("sections", F.col("r.s") + 1, F.col("r.e") - F.col("r.s") + 1)
+    rows = rows.withColumn("runs", F.aggregate(sizes, start, step)["runs"]).select("project_id", "file_path", "module", "parts", "counts", F.explode_outer("runs").alias("r"))
     rows = rows.select(
         "project_id", "file_path", "module",
-        F.get("sections", F.col("r.a"))["heading"].alias("symbol"),
-        F.get("sections", F.col("r.s"))["start_line"].alias("start_line"),
-        F.get("sections", F.col("r.e"))["end_line"].alias("end_line"),
-        F.array_join(F.transform(part, lambda s: s["content"]), "\n\n").alias("content"),
+        _name(F.get("parts", F.col("r.a"))).alias("symbol"),
+        (_lines_before(F.col("r.s")) + 1).alias("start_line"),
+        _lines_before(F.col("r.e") + 1).alias("end_line"),
+        F.array_join(F.slice("parts", F.col("r.s") + 1, F.col("r.e") - F.col("r.s") + 1), "\n\n").alias("content"),
     )
     return _as_markdown(rows)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once for each context, so that it need not be installed on executors."""
+    context = spark.sparkContext
+    if getattr(context, "_lodestrata_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    bundle = Path(tempfile.mkdtemp(prefix="lodestrata-package-")) / "lodestrata_package.zip"  # read by the driver's file server only
+    with zipfile.ZipFile(bundle, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, Path("lodestrata") / f.relative_to(package))
+    context.addPyFile(str(bundle))
+    context._lodestrata_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the cluster's shared checkpoint folder; choose a temporary one only in a local session without any."""
     if spark.sparkContext.getCheckpointDir() is not None:
