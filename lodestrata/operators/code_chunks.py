@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import MAX_TOKENS, MIN_TOKENS
 from lodestrata.operators.chunks import CHUNK_COLUMNS, finish
+from lodestrata.session import spread
 
 _S = r"[\t\n\f\r ]"
 # Declarations at column 0 that make symbols, in the order of their priority on one line.
@@ -326,5 +327,5 @@ def code_chunks(files: DataFrame, kind: str, merge: bool = False, min_tokens: in
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n.endswith("_line") else pa.string()) for n, c in zip(names, columns)], names=names)
 
     ddl = ", ".join(f"{n} {'int' if n.endswith('_line') else 'string'}" for n in names)
-    rows = files.select("project_id", "file_path", "language", "module", "text").mapInArrow(run, ddl)
+    rows = spread(files.select("project_id", "file_path", "language", "module", "text")).mapInArrow(run, ddl)
     return finish(rows, F.col("id_symbol")).select(*CHUNK_COLUMNS)

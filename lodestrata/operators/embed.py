@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import spread
+
 BATCH_SIZE = 32
 
 
@@ -143,4 +145,4 @@ def embed(chunks: DataFrame, by: Provider, text: str = "content", size: int = BA
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*kept, "vector"])
 
     ddl = ", ".join(f"`{n}` {t}" for n, t in chunks.select(*kept).dtypes) + ", vector array<float>"
-    return chunks.select(*kept).mapInArrow(run, ddl)
+    return spread(chunks.select(*kept)).mapInArrow(run, ddl)

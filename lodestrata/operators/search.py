@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import clamp_top_k
+from lodestrata.session import spread
 
 MAX_QUERIES = 10_000  # queries of one batch are broadcast; larger sets are split by the caller
 PAYLOAD = ["project_id", "file_path", "symbol", "symbol_type", "language", "module", "start_line", "end_line", "content"]
@@ -87,7 +88,7 @@ def batch_top_k(points: DataFrame, queries: DataFrame, dimensions: int = 48) ->
         raise ValueError(f"at most {MAX_QUERIES} queries at a time")
     q = queries.where(F.size("vector") == dimensions).withColumn("q_norm", F.sqrt(squared(F.col("vector")))).where("q_norm > 0 and q_norm < double('infinity')")
     q = q.select("query_id", F.col("vector").alias("q_vector"), "q_norm", clamp_top_k("top_k").alias("k"), F.nanvl(F.col("score_threshold").cast("double"), F.lit(None).cast("double")).alias("threshold"), *(F.nullif(F.col(c), F.lit("")).alias(f"q_{c}") for c in ("project_id", "module", "language", "symbol_type")))
-    p = with_norm(points.select("point_id", "vector", "project_id", "module", "language", "symbol_type"), dimensions).dropDuplicates(["point_id"])
+    p = spread(with_norm(points.select("point_id", "vector", "project_id", "module", "language", "symbol_type"), dimensions), "point_id").dropDuplicates(["point_id"])
     on = F.lit(True)
     for c in ("project_id", "module", "language", "symbol_type"):
         on = on & (F.col(f"q_{c}").isNull() | (F.col(f"q_{c}") == F.col(c)))

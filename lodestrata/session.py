@@ -30,6 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` over at least as many partitions as there are cores, for stages that cost far more than moving their input.
+
+    A scan of many files is left as it is; only an input of fewer splits than cores, which is small, is exchanged. With
+    keys the rows are always placed by them, in a number of partitions that isn't coalesced afterwards.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if keys:
+        return df.repartition(max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the Python workers, once for each context, so that it need not be installed on executors."""
     context = spark.sparkContext
