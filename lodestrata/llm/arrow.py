@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from lodestrata.session import spread
+
 
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a Spark DDL string; needs a running session."""
@@ -37,7 +39,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
         if out:
             yield to_batch(out, schema)
 
-    return df.mapInArrow(run, ddl)
+    return spread(df).mapInArrow(run, ddl)
 
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

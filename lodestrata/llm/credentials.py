@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.automaton import Automaton
+from lodestrata.session import spread
 
 # Words that end the name of a secret, and words that make a name of such a word harmless.
 SECRET_WORDS = frozenset("password passwd passwort passphrase passcode pwd pw pass secret secrets token creds credential credentials bearer pat kennwort parola sifre şifre contrasena contraseña clave senha apikey seed authtoken".split())
@@ -369,7 +370,7 @@ def scan(points: DataFrame, redacted: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(lines, pa.int32())], names=["point_id", "line_no"])
 
     rows = points.select("point_id", "file_path", "content").where(F.col("content").isNotNull())
-    return rows.mapInArrow(run, "point_id string, credentials int, content string" if redacted else "point_id string, line_no int")
+    return spread(rows).mapInArrow(run, "point_id string, credentials int, content string" if redacted else "point_id string, line_no int")
 
 
 def _characters(text: str, places: np.ndarray) -> list[int]:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pattern of this vocabulary, with possessive repeats, which match the same pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
@@ -168,7 +170,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shuffle; only leaves of longer ones are exchanged. A group of that exchange is one text, so its size is that of
     one row. Other columns of `df` are ignored. An empty table gives an empty result.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     kind = dict(df.dtypes)[id_col]
     ddl = f"id {kind}, ids array<int>"
 
@@ -217,4 +219,4 @@ def count_tokens(df: DataFrame, columns: list[str], text_col: str = "text", voca
             n = [len(own.encode(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*columns, "tokens"])
 
-    return df.select(*columns, F.col(text_col).alias("__text")).mapInArrow(run, ddl)
+    return spread(df.select(*columns, F.col(text_col).alias("__text"))).mapInArrow(run, ddl)
