@@ -14,6 +14,7 @@ from lodestrata.operators import reports
 from lodestrata.operators.code_chunks import code_chunks
 from lodestrata.operators.embed import Provider, embed
 from lodestrata.operators.store import Store, delete_ids, upsert
+from lodestrata.session import ensure_checkpoint_dir
 
 
 def chunk_files(files: DataFrame, merge: bool = False, min_tokens: int = MIN_TOKENS, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -47,10 +48,13 @@ class Run:
         return reports.run_counters(scanned, self.changed, self.skipped, self.deleted, self.new_chunks, self.stale, self.oversized)
 
 
-def plan(files: DataFrame, manifest: DataFrame, merge: bool = False) -> Run:
-    """The difference of a scan against the manifest; only changed files are chunked, only new chunks come out to embed."""
+def plan(files: DataFrame, manifest: DataFrame, merge: bool = False, keep: bool = False) -> Run:
+    """With `keep`, chunks are written to the checkpoint folder once, since a job reads them several times.
+
+    The difference of a scan against the manifest; only changed files are chunked, only new chunks come out to embed."""
     changed = m.changed_files(files, manifest)
     chunks = chunk_files(changed, merge)
+    chunks = chunks.checkpoint() if keep else chunks
     return Run(changed, m.skipped_files(files, manifest), m.deleted_files(files, manifest), chunks, m.changed_chunks(chunks, manifest), m.stale_chunks(chunks, manifest), reports.oversized_chunks(chunks))
 
 
@@ -60,12 +64,14 @@ def index(files: DataFrame, manifest: DataFrame, store: Store, provider: Provide
     Stale and purged chunks are deleted first, then new ones are put in; the store commits before the manifest does.
     With `full`, everything of the scanned projects is dropped and indexed anew.
     """
+    ensure_checkpoint_dir(files.sparkSession)
+    files = files.checkpoint()  # the tree is walked and read once
     existing = store.read() if store.exists() else None
     if full:
         scanned = files.select("project_id").distinct()
         manifest = manifest.join(scanned, "project_id", "left_anti")
         existing = existing.join(scanned, "project_id", "left_anti") if existing is not None else None
-    run = plan(files, manifest, merge)
+    run = plan(files, manifest, merge, keep=True)
     new = as_points(embed(run.new_chunks, provider))
     if existing is not None:
         gone = run.stale.select("chunk_id").unionByName(m.purged_chunks(files, manifest).select("chunk_id"))
