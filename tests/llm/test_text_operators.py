@@ -68,6 +68,18 @@ def test_no_credentials(heads, path, text):
     assert found_lines(heads, path, text) == []
 
 
+# names that the grammar takes for secret, with any blanks before the separator
+NAMED = [
+    ("a.env", "APP_KEY=q9Xv72LmPz0RtYw4"), ("a.yaml", 'ssh_key = "q9Xv72LmPz0RtYw4"'), ("a.yaml", "admin_key: q9Xv72LmPz0RtYw4"), ("a.js", 'writeKey: "q9Xv72LmPz0RtYw4"'), ("a.py", 'server__key   = "q9Xv72LmPz0RtYw4"'),
+    ("a.env", "DB_PASS     = Xy7.Loose6359"), ("a.env", "smtp_pass\t= Xy7.Loose6359"), ("a.py", 'pat\t\t: str = "q9Xv72LmPz0RtYw4"'), ("a.ts", 'const passValue = "Meter%Loose6359";'), ("a.md", "sk-ant-" + "a1B2c3D4" * 5), ("a.sh", "-u svc:Meter%Loose6359"), ("a.md", "Bearer\tEQEIDp8VMB6ePqObHI8bZOCW"),
+]
+
+
+@pytest.mark.parametrize("path,text", NAMED)
+def test_every_secret_name_has_a_head(heads, path, text):
+    assert found_lines(heads, path, text) == [1]
+
+
 def test_credentials_in_spark(spark):
     text = "ünï\n" + 'password = "Meter%Loose6359"\n' * 2
     df = points(spark, ("1", "a.py", text), ("1", "a.py", text), ("2", "a.py", None), ("3", "a.py", ""), ("4", None, "token: ghp_zoKwhCZesHjSBKozEor8cU0UZxM3qrQ5nnoL"), ("5", "a.py", "x = 1\n" * 50_000 + 'pwd = "Meter%Loose6359"'))
