@@ -52,6 +52,9 @@ HEADS = [
 ]
 
 ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+# What stands between a BEGIN line and the body, a line of the body, and what may lie between two of them in a literal.
+ARMOR_HEADERS = re.compile(r"(?:(?:\s|\\[nr])*(?:Proc-Type|DEK-Info|Version|Comment|Hash): ?(?:(?!\\[nr])[^\n])*)*")
+ARMOR_RUN = re.compile(r"(?P<between>(?:\\[nr]|//(?=\s)|\+(?=[\s\"'`])|[\s\"'`.#*;,()>|-])*+)(?P<run>[A-Za-z0-9+/]+={0,2})")
 ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 CONNECTION = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,20}://(?P<user>[^\s:@/\"'<>`]{0,60}):(?P<value>[^\s\"'<>`@]{2,120}(?:@[^\s\"'<>`@/]+)*?)@(?=[\w.\[{$-])")
 QUERY = re.compile(r"(?i)[?&](?:api_?key|access_token|auth_?token|token|sig|signature|auth|key|secret|password|passwd|pwd|client_secret|sas)=(?P<value>[^\s&\"'<>`#)]{6,})")
@@ -131,6 +134,26 @@ def decoded(v: str) -> list[str]:
     return [x for x in out if x and x.isprintable()]
 
 
+STEP = re.compile(r"\"\"\"(?:\\.|(?!\"\"\")[^\\])*\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*.*?\*/|(?P<open>[(\[])|(?P<close>[)\]])|(?P<comma>,)|(?P<stop>[;\n])", re.S)
+
+
+def expression_end(text: str, start: int, depth: int = 0) -> int:
+    """Where the expression that begins at `start` inside of `depth` brackets ends: brackets are followed to their balance."""
+    line = -1
+    for m in STEP.finditer(text, start):
+        if m["open"]:
+            depth += 1
+        elif m["close"]:
+            depth -= 1
+        if depth < 0 or m["comma"] and depth == 0:
+            return m.start()
+        if m["stop"]:
+            line = m.start() if line < 0 else line
+            if depth == 0 and (m["stop"] == ";" or not re.search(r"[+.]\s*$", text[max(start, m.start() - 40) : m.start()]) and not re.match(r"\s*(?:\.(?!\.)|\+)", text[m.end() : m.end() + 80])):
+                return m.start()
+    return len(text) if depth == 0 else line if line >= 0 else len(text)
+
+
 class Finder:
     """Reads the grammars around the places where the automaton stopped, in one text."""
 
@@ -152,9 +175,6 @@ class Finder:
         hi = text.find("\n", at)
         hi = len(text) if hi < 0 else hi
         row = text[lo:hi]
-        if len(row) > 4000:  # minified: a window of whole words around the place
-            lo, hi = max(lo, at - 600), min(hi, at + 1400)
-            row = text[lo:hi]
         for m in ARMOR.finditer(row):
             self.armor(lo + m.start(), lo + m.end())
         for m in TOKENS.finditer(row):
@@ -198,12 +218,33 @@ class Finder:
             self.fallback(row, lo)
 
     def armor(self, s: int, e: int) -> None:
-        """A private key with a body; one that is only mentioned has none."""
-        end = ARMOR_END.search(self.text, e, e + 20_000)
-        body = re.sub(r"\\[nr]|[\s\"'+.#*/;,]|//", "", self.text[e : end.start() if end else e + 400])
-        run = re.match(r"[A-Za-z0-9+/=:-]*", re.sub(r"^(?:Proc-Type|DEK-Info)[^\n]*", "", body))[0]
-        if len(run) >= 40 and not placeholder(run[:60]):
-            self.add((s, end.end() if end else min(len(self.text), e + len(run))))
+        """A private key with a body; one that is only mentioned has none. Its body is followed to its real end."""
+        following = ARMOR.search(self.text, e)
+        end = ARMOR_END.search(self.text, e, following.start() if following else len(self.text))
+        first = ARMOR_HEADERS.match(self.text, e).end()
+        body = re.sub(r"\\[nr]|[\s\"'+.#*/;,]|//", "", self.text[first : end.start() if end else following.start() if following else len(self.text)])
+        run = re.match(r"[A-Za-z0-9+/=:-]*", body)[0]
+        if len(run) < 40 or placeholder(run[:60]):
+            return
+        if end and len(run) == len(body):
+            self.add((s, end.end()))
+            return
+        # lines of one width, of which only the last is shorter
+        at, width = first, 0
+        while m := ARMOR_RUN.match(self.text, at):
+            size = len(m["run"])
+            if width and size < width and (re.fullmatch(r"[a-z]+|[A-Z]?[a-z]+", m["run"]) or size < 24 and m["between"].count("\n") + m["between"].count("\\n") > 1):
+                break
+            if size < 16 and not width:
+                break
+            at = m.end()
+            if width and size < width:
+                break
+            width = width or size
+        if end and end.start() - at <= 400:
+            at = end.end()
+        if at > first:
+            self.add((s, at))
 
     def assigned(self, m: re.Match, lo: int, row: str) -> None:
         name, sep = m["name"], m["sep"].strip()
@@ -221,7 +262,7 @@ class Finder:
         """The spans of the value that begins at or after `at`, joined over literals."""
         text = self.text
         start = at
-        while start < len(text) and text[start] in " \t\r\n(|>" and start < at + 80:
+        while start < len(text) and text[start] in " \t\r\n(|>":
             start += 1
         if text[at:start].count("\n") > 1:
             return None
@@ -230,7 +271,7 @@ class Finder:
         m = LITERAL.match(text, start)
         if m:
             parts = [m]
-            while len(parts) < 12:
+            while True:
                 g = GLUE.match(text, parts[-1].end())
                 nxt = LITERAL.match(text, g.end()) if g else None
                 if not nxt or ("\n" in g[0] and not re.search(r"[+.\\]", g[0]) and not text[:start].rstrip().endswith("(")):
@@ -242,14 +283,7 @@ class Finder:
                 return None
             return [p.span(2) for p in parts if p[2]]
         if self.code and sep != "was":
-            stop = re.compile(r"[;\n]").search(text, start)
-            end = stop.start() if stop else len(text)
-            for _ in range(4):  # an expression that goes on over lines
-                chunk = text[start:end]
-                if end < len(text) and (chunk.count("(") + chunk.count("[") > chunk.count(")") + chunk.count("]") or re.search(r"[+.,(\[]\s*$", chunk)):
-                    stop = re.compile(r"[;\n]").search(text, end + 1)
-                    end = stop.start() if stop else len(text)
-            expression = text[start : min(end, start + 1500)]
+            expression = text[start : expression_end(text, start, text.count("(", at, start))]
             in_comment = re.search(r"(?://|#|\*)[^\n]*$", text[text.rfind("\n", 0, at) + 1 : at])
             if not in_comment:
                 return self.built(expression, start)
@@ -304,10 +338,7 @@ def find_all(text: str, places: list[int], extension: str) -> list[list[tuple[in
             continue
         end = text.find("\n", at)
         finder.line(at)
-        if (end if end >= 0 else len(text)) - at < 1400:
-            done = end if end >= 0 else len(text)
-        else:
-            done = at + 600
+        done = end if end >= 0 else len(text)
     return [finder.spans[s] for s in sorted(finder.spans)]
 
 
