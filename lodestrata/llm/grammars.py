@@ -22,19 +22,21 @@ def any_of(texts: str) -> str:
 SCRIPT_RESERVED = "break case catch class const continue debugger default delete do else enum export extends finally for function if import in instanceof new null return super switch this throw true try typeof var void while with false"
 SCRIPT_NAMES = "async await of get set static let yield as from type interface abstract declare readonly namespace module keyof infer is asserts public private protected implements override satisfies unique accessor package global require out"
 SCRIPT_PUNCT = "{ } ( ) [ ] ; , < > <= == != === !== + - * / % ** ++ -- << & | ^ ! ~ && || ?? ? ?. : = += -= *= /= %= **= <<= &= |= ^= &&= ||= ??= => . ... @"
-SCRIPT_CODES = Codes(["ID", "NUM", "STR", "TMPL", "REGEX", "PRIV"], [*SCRIPT_RESERVED.split(), *SCRIPT_NAMES.split(), *SCRIPT_PUNCT.split()], lines=True)
+SCRIPT_CODES = Codes(["ID", "NUM", "STR", "TMPL", "REGEX", "PRIV", "THEAD", "TMID", "TTAIL"], [*SCRIPT_RESERVED.split(), *SCRIPT_NAMES.split(), *SCRIPT_PUNCT.split()], lines=True)
 SPACE = r"(?:[\s\ufeff]++|//[^\n\r\u2028\u2029]*+|/\*(?:[^*]++|\*(?!/))*+\*/)*+"
-NESTED = r"\$\{(?:[^{}`'\"]++|'(?:[^'\\\n]|\\.)*+'|\"(?:[^\"\\\n]|\\.)*+\"|`(?:[^`\\]|\\.)*+`|\{(?:[^{}`]++|\{[^{}]*+\}|`(?:[^`\\]|\\.)*+`)*+\})*+\}"
+# a piece of a template ends with it or before a substitution, whose tokens are the file's own
+PIECE = r"(?:[^`\\$]++|\\[\s\S]|\$(?!\{))*+(?:`|\$\{)"
+SCRIPT_PIECE = re.compile(r"\}" + PIECE)
 SCRIPT_TOKEN = re.compile(
     SPACE + r"(?:((?:[^\W\d]|[$\\])(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*+)"
     r"|((?:0[xX][0-9a-fA-F_]++|0[oO][0-7_]++|0[bB][01_]++|(?:\d[\d_]*+)(?:\.[\d_]*+)?+(?:[eE][+-]?\d++)?+|\.\d[\d_]*+(?:[eE][+-]?\d++)?+)n?+(?![\w$]))"
     r"|(\"(?:[^\"\\\n\r]++|\\(?:\r\n|[\s\S]))*+\"|'(?:[^'\\\n\r]++|\\(?:\r\n|[\s\S]))*+')"
-    r"|(`(?:[^`\\$]++|\\[\s\S]|\$(?!\{)|" + NESTED + r")*+`)"
+    r"|(`" + PIECE + r")"
     r"|(\#[^\W\d]\w*+)|(" + alternatives([x for x in SCRIPT_PUNCT.split()]) + r")|(\Z)|())"
 )
 SCRIPT_REGEX = re.compile(r"/(?![*/])(?:[^/\\\n\r\[]++|\\[^\n\r]|\[(?:[^\]\\\n\r]++|\\[^\n\r])*+\])++/[a-zA-Z]*+")
 SCRIPT_WORDS = {**{w: w for w in SCRIPT_RESERVED.split()}, **{w: w for w in SCRIPT_NAMES.split()}}
-OPERAND_ENDS = {SCRIPT_CODES.of[x] for x in ("ID", "NUM", "STR", "TMPL", "REGEX", "PRIV", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--", *SCRIPT_NAMES.split())}
+OPERAND_ENDS = {SCRIPT_CODES.of[x] for x in ("ID", "NUM", "STR", "TMPL", "TTAIL", "REGEX", "PRIV", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--", *SCRIPT_NAMES.split())}
 
 
 def lex_script(text: str) -> Lexed:
@@ -42,6 +44,7 @@ def lex_script(text: str) -> Lexed:
     codes, places = [], []
     pos = re.match(r"\ufeff?#![^\n]*", text).end() if text.lstrip("\ufeff").startswith("#!") else 0
     last = ""
+    open_braces: list[int] = []  # in each template that is open, outermost first
     words = SCRIPT_WORDS.get
     while True:
         m = match(text, pos)
@@ -65,6 +68,22 @@ def lex_script(text: str) -> Lexed:
                 places.append(at)
                 pos = end
                 continue
+            if open_braces and kind == "{":
+                open_braces[-1] += 1
+            elif open_braces and kind == "}":
+                open_braces[-1] -= 1
+                if open_braces[-1] < 0:
+                    m = SCRIPT_PIECE.match(text, at)
+                    if not m:
+                        return "".join(codes) + END, places, at
+                    kind = "TTAIL" if m[0][-1] == "`" else "TMID"
+                    if kind == "TTAIL":
+                        open_braces.pop()
+                    else:
+                        open_braces[-1] = 0
+        elif k == 4 and m[4][-1] == "{":
+            kind = "THEAD"
+            open_braces.append(0)
         else:
             kind = ("", "", "NUM", "STR", "TMPL", "PRIV")[k]
         last = of[kind]
@@ -125,10 +144,11 @@ unary <- prefix* {t("(typeargs !'(')?")} (PRIV &'in' / postfix)
 prefix <- '+' / '-' / '!' / '~' / '++' / '--' / 'typeof' / 'void' / 'delete' / 'await' !('.' / '(' / ',' / ')' / '=') / 'new' !'.' / 'await' &'('
 postfix <- (chain / primary) trailer* (!NL ('++' / '--'))?
 chain <- (name !'=>' / NUM / STR / TMPL / REGEX / 'this' / 'super' / 'null' / 'true' / 'false') ('.' (word / PRIV))*
-trailer <- '.' (word / PRIV) / '?.' (word / PRIV / '[' expr ']' / args) / '[' expr ']' / args / TMPL {t("/ !NL '!' / typeargs &('(' / TMPL) / typeargs !(name / STR / NUM / '(' / '-' / '+' / 'this' / 'null')")}
+trailer <- '.' (word / PRIV) / '?.' (word / PRIV / '[' expr ']' / args) / '[' expr ']' / args / TMPL / template {t("/ !NL '!' / typeargs &('(' / TMPL / THEAD) / typeargs !(name / STR / NUM / '(' / '-' / '+' / 'this' / 'null')")}
 args <- '(' (arg (',' arg)*)? ','? ')'
 arg <- '...'? assign
-primary <- '(' expr ','? ')' / array / object / 'async'? 'function' '*'? name? {t("typeparams?")} params {t("annotation?")} block / decorator* 'class' name? {t("typeparams?")} heritage classbody / 'import' ('(' assign (',' assign)? ','? ')' / '.' word) / 'new' '.' word
+template <- THEAD expr (TMID expr)* TTAIL
+primary <- '(' expr ','? ')' / array / object / template / 'async'? 'function' '*'? name? {t("typeparams?")} params {t("annotation?")} block / decorator* 'class' name? {t("typeparams?")} heritage classbody / 'import' ('(' assign (',' assign)? ','? ')' / '.' word) / 'new' '.' word
 array <- '[' flat* ','* (element (','+ element)*)? ','* ']'
 flat <- ('-'? NUM / STR) ','
 element <- '...'? assign
@@ -141,7 +161,7 @@ type <- 'asserts' name ('is' type)? / (name / 'this') 'is' type / funtype / unio
 funtype <- 'abstract'? 'new'? typeparams? params '=>' type
 union <- ('|' / '&')? typepost (('|' / '&') typepost)*
 typepost <- (('keyof' / 'readonly' / 'unique') &(name / '(' / '[' / '{' / 'typeof' / STR / 'this'))* (('infer' name ('extends' typepost !'?')?) / typeatom) (!NL '[' type? ']')*
-typeatom <- funtype / '(' type ')' / typebody / '[' (tuple (',' tuple)*)? ','? ']' / STR / '-'? NUM / TMPL / 'typeof' ('import' args / name) ('.' (word / PRIV))* typeargs? / 'import' args ('.' word)* typeargs? / 'this' / 'null' / 'void' / 'true' / 'false' / name ('.' word)* (!NL typeargs)?
+typeatom <- funtype / '(' type ')' / typebody / '[' (tuple (',' tuple)*)? ','? ']' / STR / '-'? NUM / TMPL / THEAD type (TMID type)* TTAIL / 'typeof' ('import' args / name) ('.' (word / PRIV))* typeargs? / 'import' args ('.' word)* typeargs? / 'this' / 'null' / 'void' / 'true' / 'false' / name ('.' word)* (!NL typeargs)?
 tuple <- '...'? (word '?'? ':' type / type '?'?)
 typeargs <- '<' type (',' type)* ','? '>'
 typeparams <- '<' typeparam (',' typeparam)* ','? '>'

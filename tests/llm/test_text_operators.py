@@ -239,6 +239,21 @@ def test_invalid(language, text):
     assert not valid and line >= 1 and cause
 
 
+@pytest.mark.parametrize("language", ["js", "ts"])
+def test_template_substitutions_are_parsed(language):
+    deep = "x"
+    for _ in range(12):
+        deep = "`a${f({ k: [y => { if (y) { return " + deep + " } }] })}b`"
+    good = ["`${xs.map(x => { if (x) { f({a: 1}) } })}`", "`${`${`${a}`}`}`", "x = `\\`${a}$b\\${`\nt`c${d}${/[`}]/.test(e)}`.length / 2", "a.b`${c}`.d", "`${a, b}` + `}` + '${'", "let x = " + deep]
+    bad = ["`${a +}`", "`${}`", "`${a b}`", "x = `${f(1}`", "`a${b`", "`${a}${`${if}`}`", "let x = " + deep.replace("return x", "return x x")]
+    assert [t for t in good if not syntax.judge(t, language)[0]] == [] and [t for t in bad if syntax.judge(t, language)[0]] == []
+    assert syntax.judge("let a = `x\n${b}\n${c +}`\n", language)[1] == 3
+
+
+def test_template_types():
+    assert syntax.judge("type A = `${B}-${Uppercase<C>}`", "ts")[0] and not syntax.judge("type A = `${B |}`", "ts")[0]
+
+
 def test_python_grammar_against_the_parser():
     import ast
     import random
