@@ -33,7 +33,7 @@ HEADER = re.compile(
     r"|\bautomatisch (?:erzeugt|generiert|erstellt)\b|\bnicht von hand (?:bearbeiten|ändern)\b|\botomatik (?:olarak )?(?:oluştur|üret)|\bgenerad[oa] autom[aá]ticamente\b|\bg[eé]n[eé]r[eé] automatiquement\b"
 )
 NOT_HEADER = re.compile(r"(?i)\bhand[- ]?written\b|\bnot (?:auto-?)?generated\b|\bby hand\b(?!.{0,12}bearbeiten)|\bgenerates\b|\bgenerator (?:for|could|of|that)\b|\bhelper for\b|\bwrites the\b")
-BANNER = re.compile(r"(?i)(?:/\*!?|//|#|\*)\s*(?P<name>[\w.-]+)\s+v?\d+\.\d+(?:\.\d+)*\b")
+BANNER = re.compile(r"(?i)(?:/\*!?|//|#|\*)\s*(?!(?:version|licen[cs]e)\b)(?P<name>[\w.-]+)\s+v?\d+\.\d+(?:\.\d+)*\b")
 CONTRIBUTORS = re.compile(r"(?i)\(c\)[^\n]{0,60}\bcontributors\b|@license\b|@preserve\b|\blicensed under the\b|\bspdx-license-identifier\b")
 VENDOR_DIR = re.compile(r"(?:^|/)(?:vendor|vendored|node_modules|bower_components|third[_-]party(?:_\w+)?|3rdparty|godeps|extern|external|deps)/", re.I)
 BUILD_DIR = re.compile(r"(?:^|/)(?:dist|build|public|static|assets|out|web/lib|min)/", re.I)
@@ -43,6 +43,10 @@ LITERAL = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`|\b0[xX
 COMMENT = re.compile(r"/\*.*?\*/|(?<![:\"'\w])//[^\n]*|(?m:^\s*#(?!\!)[^\n]*)", re.S)
 MEMBER = re.compile(r"(?m)^\s*(?:public )?(?:function |String |void |def |\w+ )?(?:get|set|has|clear)[A-Z_]\w*\s*\(|wire:\"|descriptor|_serialized|\bfunction \(m\)|^\s*\w+\d+\??: [\w<>\[\], ]+;|^\s*F\d+ |^\s*\w*\d+: '/|\) (?:Get|Set)[A-Z]\w*\(")
 COMMENT_LINE = re.compile(r"\s*(?://|#|/?\*|<!--|;|--|\"\"\"|<\?php)")
+BLOCKS = {"/*": "*/", "<!--": "-->", '"""': '"""'}
+PREAMBLE = re.compile(r"\s*(?:<\?php\b|<\?xml\b|#!|(?:package|namespace) [\w.\\\\]+;?\s*$|['\"]use strict['\"];?\s*$|declare\(strict_types)")
+DESCRIPTOR = re.compile(r"descriptor_pool|(?<!\w)_descriptor\b|AddSerializedFile|protoc?_gen")
+TYPE = re.compile(r"(?m)^[ \t]*(?:(?:public|final|abstract|export|default|static) )*(?:class|interface|type|struct|enum) (\w+)")
 WORD_BYTES = bytes(c for c in range(128) if chr(c).isalnum() or chr(c) in "_ \t\r")
 CODE = frozenset("py js jsx ts tsx go java php rb rs c h cpp cs kt swift scala vue".split())
 
@@ -83,6 +87,31 @@ class Library:
         return max(len(own & self.shingles[k]) / max(1, min(len(own), len(self.shingles[k]))) for k in best)
 
 
+def comment_lines(text: str) -> tuple[list[str], list[str]]:
+    """(all lines of comments, those that stand before the first line of code), however long; code after a comment is cut off."""
+    found, leading, close = [], None, ""
+    for line in text.split("\n"):
+        bare = line.strip()
+        if close:
+            at = bare.find(close)
+            found.append(bare if at < 0 else bare[:at])
+            close = close if at < 0 else ""
+        elif mark := next((x for x in BLOCKS if bare.startswith(x)), ""):
+            if mark == '"""' and leading is not None:  # a text in the code; its first line is read as before
+                found.append(bare)
+                continue
+            at = bare.find(BLOCKS[mark], len(mark))
+            found.append(bare if at < 0 else bare[:at])
+            close = BLOCKS[mark] if at < 0 else ""
+            if at >= 0 and leading is None and len(bare) > at + len(BLOCKS[mark]):
+                leading = list(found)
+        elif COMMENT_LINE.match(line):
+            found.append(bare)
+        elif bare and leading is None and not PREAMBLE.match(line):
+            leading = list(found)
+    return found, found if leading is None else leading
+
+
 def evidence(path: str, text: str, library: Library) -> tuple[float, ...]:
     """Log-likelihoods of the labels given the file alone."""
     path = path or ""
@@ -90,19 +119,17 @@ def evidence(path: str, text: str, library: Library) -> tuple[float, ...]:
     ending = base.rpartition(".")[2].lower() if "." in base else ""
     generated, minified, vendored, blob = -5.0, -5.0, -5.0, -5.0
     size = len(text)
-    head = text[:1600].split("\n")[:16]
+    comments, leading = comment_lines(text)
 
-    for line in head + (text[-700:].split("\n")[1:][-8:] if size > 1600 else text[1600:].split("\n") if len(head) < 16 else text.split("\n")[16:]):
-        if len(line) < 400 and COMMENT_LINE.match(line) and HEADER.search(line) and not NOT_HEADER.search(line):
-            generated += 12
-            break
+    if any(HEADER.search(line) and not NOT_HEADER.search(line) for line in comments):
+        generated += 12
     if GENERATED_PATH.search(path):
         generated += 1.5
     if LOCK_NAME.search(path) or base.lower().endswith(".lock"):
         generated += 4
     if ending in ("json", "lock", "yaml", "yml", "toml", "sum"):
         locks = len(re.findall(r"\"(?:integrity|resolved|lockfileVersion|content-hash|dist|shasum)\"|^\s*(?:integrity|resolved|checksum|resolution):? |h1:[\w+/=]{20}", text, re.M))
-        if locks >= 3 and locks * 12 >= text.count("\n") * 0.6 or "\"lockfileVersion\"" in text[:400] or "\"content-hash\"" in text[:600]:
+        if locks >= 3 and locks * 12 >= text.count("\n") * 0.6 or "\"lockfileVersion\"" in text or "\"content-hash\"" in text:
             generated += 9
 
     lines = text.count("\n") + 1
@@ -139,12 +166,13 @@ def evidence(path: str, text: str, library: Library) -> tuple[float, ...]:
             members = len(MEMBER.findall(text))
             if members * 3 >= len(rows):
                 generated += 10
-        if re.search(r"descriptor_pool|_descriptor\b|AddSerializedFile|protoc?_gen|\bclass \w+Msg\b|\btype \w+Msg struct", text[:600]):
+        first = TYPE.search(text)
+        if DESCRIPTOR.search(text) or first and first[1].endswith("Msg"):
             generated += 6
 
     if VENDOR_DIR.search("/" + path):
         vendored += 2
-    banner = "\n".join(head[:8])
+    banner = "\n".join([*leading, *text.split("\n", 8)[:8]])
     if CONTRIBUTORS.search(banner) and BANNER.search(banner):
         vendored += 8
     elif CONTRIBUTORS.search(banner):

@@ -146,6 +146,25 @@ def test_provenance(spark):
     assert provenance.judge_files(df.limit(0), library).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["//", "#", "*"])
+def test_markers_behind_a_long_licence(mark):
+    licence = [f"Words {i} of a licence that goes on over many lines of prose, as such blocks do in most places" for i in range(40)]
+    block = lambda *rows: "/*\n" + "\n".join(f" * {x}" for x in rows) + "\n */\n" if mark == "*" else "\n".join(f"{mark} {x}" for x in rows) + "\n"
+    library, ending = provenance.Library([]), "py" if mark == "#" else "go"
+    one = lambda text, path=f"src/a.{ending}": provenance.evidence(path, text, library)
+    assert one(block(*licence) + "\n" + block("Code generated by client-gen. DO NOT EDIT.") + "\n" + HAND * 9)[1] > 0
+    assert one(HAND * 30 + block("Machine made by gridgen; regenerate instead of editing", *licence) + HAND)[1] > 0
+    assert one(block(*licence) + HAND * 9)[1] < 0 and one(block(*licence, "This code generates files that others must not edit.") + HAND * 9)[1] < 0
+    assert one(block(*licence, "(c) zorva contributors, open licence", "zorva v1.2.3") + HAND)[3] > 0
+    assert one(block(*licence, "Licensed under the Apache License,", "Version 2.0 of January") + HAND)[3] < 0
+    assert one(block(*licence) + "from google.protobuf import descriptor_pool\n" + HAND)[1] > 0 and one(HAND.replace("path", "file_descriptor"))[1] < 0
+
+
+def test_lock_marks_anywhere():
+    rows = ",\n".join(f'"name{i}": "value"' for i in range(60))
+    assert provenance.evidence("conf/versions.json", "{" + rows + ',\n"content-hash": "0a1b"}', provenance.Library([]))[1] > 0
+
+
 def test_folders_inform_their_files(spark):
     rows = [(f"g{i}", f"x/gen/f{i}.py", "# @generated by t\n" + HAND) for i in range(30)] + [("in", "x/gen/plain.py", HAND), ("out", "y/plain.py", HAND)]
     belief = {r.point_id: r for r in provenance.judge_files(points(spark, *rows), spark.createDataFrame([], "content string")).collect()}
