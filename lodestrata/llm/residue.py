@@ -10,27 +10,19 @@ Code blocks, inline code, quotations and quoted text explain or show such things
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.automaton import Automaton
-from lodestrata.session import spread
+from lodestrata.session import ensure_checkpoint_dir, spread
 
 # Languages of files whose text is code.
 CODE_LANGUAGES = frozenset("python javascript typescript java go golang php js ts jsx tsx py json yaml css shell sql xml".split())
 CODE_ENDINGS = (".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".go", ".php", ".json", ".yaml", ".yml", ".css", ".sh", ".sql", ".xml", ".vue")
-#: Heads that make a text worth reading line by line, ASCII letters in either case.
-HEADS = [
-    r"\{\{", r"\$\{", r"<%", r"%[a-z_]{3}", r"\{\$", r"\{[a-z0-9_.]+\}", r"\[\[", r"\[[a-z]+ ", r"\[(ç|ğ|ı|ö|ş|ü|Ç|İ|Ö|Ş|Ü)", r"<(your|insert|name|enter)[ _-]", r"<[a-z]+ [a-z]+", r"__[a-z]", r"@@[a-z]", r"##[a-z]+##", r"xx_", r"%[sd@]", r"%\(", r"undefined", r"\[object", r"[ ,(]null[ ,.!]", r"nan[ ,.!]", r"none[,.!]", r"n/a", r"\{%", r"\|[a-z_]+\|", r"#\{", r"john doe", r"jane doe", r"(dear|hello|hi|by|to|sayın|geehrte[rs]?|estimad[oa])  ?[,!.]",
-    r"lorem", r"ipsum", r"dolor", r"blindtext", r"(goes|comes) here", r"content here", r"text here", r"(description|copy|headline) here", r"replace with", r"metin gelecek", r"asdf", r"qwerty", r"subtitle", r"bullet point", r"placeholder", r"sample (text|paragraph|copy)", r"coming soon", r"under construction", r"\ntbd", r"foo bar", r"relleno", r"aquí va", r"xxx", r"(example|dummy) (text|content)", r"örnek metin", r"platzhalter",
-    r"javascript", r"scripts", r"scripting", r"noscript", r"checking your browser",
-    r"\"(error|errors|status|statuscode|code|success|fault|message|detail)\" *:", r"(access|permission) (is |was )?denied", r"not found", r"forbidden", r"unavailable", r"bad gateway", r"bad request", r"gateway time", r"expired[.,!]", r"has expired", r"went wrong", r"too many requests", r"rate limit exceeded", r"could not be", r"timed out", r"time-?out\n", r"(been|was|is|are) (disabled|suspended|removed|deleted|blocked)", r"nicht gefunden", r"bulunamad", r"engellendi", r"no encontrad", r"verweigert", r"denegado", r"bir hata", r"ters gitti", r"fatal error", r"parse error", r"uncaught", r"traceback", r"unhandled", r"internal server", r"error (has )?occurred", r"maintenance", r"unauthorized", r"is gone", r"introuvable", r"schiefgelaufen", r"algo sali", r"human", r"error [45]\d\d", r"not available", r"reddedildi",
-]
 
 FENCE = re.compile(r"^[ \t>]*(?:`{3,}|~{3,})")
 INLINE = re.compile(r"`[^`\n]*`|\"[^\"\n]{2,200}\"|“[^”\n]{2,200}”|«[^»\n]{2,200}»|„[^“\n]{2,200}“")
@@ -57,7 +49,7 @@ ERROR = re.compile(
     r"(?i)^\W*(?:(?:error|http|fehler|hata|status)?[ :]*[45]\d\d\b.{0,90}|(?:\w+ )?(?:page|site|file|seite|sayfa|página|resource|url|document)\b.{0,30}(?:not found|nicht gefunden|bulunamadı|no encontrad[ao]|could not be (?:found|located)|is gone|does not exist|existiert nicht|no existe|unavailable|expired)|(?:the )?requested (?:\w+ )?(?:resource|page|url|document|file)\b.{0,60}|.{0,20}could not be (?:located|found|loaded|reached|displayed)\b.{0,40}|access (?:is |was )?denied.{0,40}|(?:zugriff|acceso|erişim)\W? (?:verweigert|denegado|engellendi|reddedildi)|permission denied|forbidden|unauthorized|.{0,20}something went wrong.{0,40}|(?:an )?(?:unexpected |internal |unknown )?(?:server )?error(?: has)? occurred.{0,40}|internal server error|bad (?:gateway|request)|gateway time-?out|(?:the )?(?:request|connection|upstream|session)\b.{0,20}(?:timed out|has expired|expired|was reset|refused).{0,50}|\w+ expired\W+please log in.{0,20}|too many requests.{0,40}|rate limit exceeded.{0,40}|service (?:temporarily )?unavailable|(?:this|the) (?:\w+ )?(?:repository|account|page|site|project|channel|video|content|user|organisation|organization)\b.{0,20}(?:has been|was|is|are) (?:disabled|suspended|removed|deleted|blocked|down|unavailable|no longer available|not available).{0,40}|(?:we are )?(?:down for|under) maintenance.{0,30}|sayfa bulunamadı|seite nicht gefunden|página no encontrada|page introuvable|not found|etwas ist schiefgelaufen.{0,30}|bir (?:şeyler ters gitti|hata oluştu).{0,30}|algo salió mal.{0,30}|are you (?:a )?(?:human|robot).{0,40}|verify (?:that )?you are (?:a )?human.{0,40}|(?:php )?(?:fatal|parse) error\b.{0,300}|uncaught \w*(?:error|exception)\b.{0,300}|traceback \(most recent call last\).{0,20}|unhandled exception.{0,200}|thrown in \S+ on line \d+)\W*$"
 )
 JSON_ERROR = re.compile(r"(?is)^\s*\{.{0,300}?\"(?:error|errors|message|status|code|detail|fault)\"\s*:.{0,400}\}\s*$")
-JSON_WORDS = re.compile(r"(?i)\"(?:errors?|fault|exception)\"\s*:\s*(?!null|\[\s*\]|\"\"|false)|\"(?:status|code|statusCode)\"\s*:\s*\"?[45]\d\d|\"(?:status|success|ok)\"\s*:\s*(?:\"(?:error|fail)|false)")
+JSON_WORDS = re.compile(r"(?i)\"(?:errors?|fault|exception)\"\s*:\s*+(?!null|\[\s*\]|\"\"|false)|\"(?:status|code|statusCode)\"\s*:\s*\"?[45]\d\d|\"(?:status|success|ok)\"\s*:\s*(?:\"(?:error|fail)|false)")
 TAG = re.compile(r"<(?:!--.*?--|/?[a-zA-Z!][^<>]*)>", re.S)
 HTML = re.compile(r"(?i)<(?:!doctype|html|head|body|title|center|noscript|script|div|h1|p|meta)\b")
 TRACE = re.compile(r"(?m)^\s*(?:#\d+ \S|at [\w$.]+\(|File \"|thrown in |Stack trace|Stack \w+:)")
@@ -77,24 +69,33 @@ def template_of(line: str) -> str:
 LINE_END = re.compile(rb"\r\n|\n|\r|\xe2\x80\xa8")
 
 
-def judge(data: bytes, places: list[int]) -> tuple[str | None, list[tuple[str, str]]]:
-    """(kind if the text alone decides, [(template, value)] of doubtful slots); only lines with a place are read closely."""
-    if len(data) < 900:
-        whole = data.decode("utf-8", "replace").strip("\ufeff\u200b \t\r\n")
-        if whole[:1] == "{" and JSON_ERROR.match(whole.partition("}")[0] + "}") and JSON_WORDS.search(whole.partition("}")[0] + "}"):
-            return "error page", []
+def failed_request(whole: str) -> bool:
+    """Whether a text is the JSON answer to a request that failed."""
+    if whole[:1] != "{":
+        return False
+    first = whole.partition("}")[0] + "}"
+    if len(whole) < 900 and JSON_ERROR.match(first) and JSON_WORDS.search(first):
+        return True
+    try:
+        answer = json.loads(whole)
+    except (ValueError, RecursionError):
+        return False
+    top = json.dumps({k: v if isinstance(v, (str, int, float, bool, type(None))) else [0] if v else [] for k, v in answer.items()}, ensure_ascii=False)
+    return bool(JSON_WORDS.search(top))
+
+
+def judge(data: bytes) -> tuple[str | None, list[tuple[str, str]]]:
+    """(kind if the text alone decides, [(template, value)] of doubtful slots); every line is read."""
+    if data.lstrip(b"\xef\xbb\xbf\xe2\x80\x8b \t\r\n")[:1] == b"{" and failed_request(data.decode("utf-8", "replace").strip("\ufeff\u200b \t\r\n")):
+        return "error page", []
     doubtful: list[tuple[str, str]] = []
     slides = fillers = kept = short = 0
     error_at = fence = False
     words = 0.0
-    start, at, n_places = 0, 0, len(places)
+    start = 0
     ends = [(m.start(), m.end()) for m in LINE_END.finditer(data)] + [(len(data), len(data))]
     for stop, following in ends:
         raw = data[start:stop]
-        hit = False
-        while at < n_places and places[at] < following:
-            hit = True
-            at += 1
         start = following
         lead = raw.lstrip()
         if lead[:3] in (b"```", b"~~~") or lead[:1] == b">" and FENCE.match(raw.decode("utf-8", "replace")):
@@ -104,14 +105,6 @@ def judge(data: bytes, places: list[int]) -> tuple[str | None, list[tuple[str, s
             continue
         kept += 1
         short += len(raw) < 60
-        if not hit:
-            if len(raw) < 24 and slide(raw.decode("utf-8", "replace").strip(" \t#*-\ufeff")):
-                slides += 1
-            elif len(raw) > 16 and raw.count(raw[:8]) > 1 and repeated(raw.decode("utf-8", "replace")):
-                return "filler", []
-            elif not error_at or b"|" not in raw:
-                words += len(raw) / 7
-            continue
         line = INLINE.sub(" ", raw.decode("utf-8", "replace")).strip("\u200b\ufeff \t")
         bare = TAG.sub(" ", line).strip() if "<" in line else line
         bare = re.sub(r"^(?:#{1,6}|[-*+]|\d+[.)])\s+", "", bare).strip(" *_")
@@ -170,26 +163,13 @@ def is_code(language: str | None, path: str | None, text: str) -> bool:
 
 def verdicts(documents: DataFrame) -> DataFrame:
     """doc_id, kind, template, value: certain verdicts have a kind, doubtful slots a template and a value."""
-    automaton = Automaton(HEADS, fold_case=True)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(3)
-            wide = pa.types.is_large_string(column.type)
-            offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
-            ends, _ = automaton.ends(data)
-            row_of = np.searchsorted(offsets - offsets[0], ends, "right") - 1 if len(column) else ends
-            rows, first = np.unique(row_of, return_index=True)
-            last = [*first[1:], len(row_of)]
             out: list[tuple] = []
-            for i, lo, hi in zip(rows, first, last):
-                s, e = offsets[i] - offsets[0], offsets[i + 1] - offsets[0]
-                text = data[s:e].tobytes()
-                if is_code(b.column(1)[i].as_py(), b.column(2)[i].as_py(), text[:200].decode("utf-8", "replace")):
+            for doc, language, path, text in zip(*(c.to_pylist() for c in b.columns)):
+                if is_code(language, path, text[:200]):
                     continue
-                kind, doubtful = judge(text, np.unique(ends[lo:hi] - s).tolist())
-                doc = b.column(0)[i].as_py()
+                kind, doubtful = judge(text.encode("utf-8", "replace"))
                 if kind:
                     out.append((doc, kind, None, None))
                 else:
@@ -209,8 +189,8 @@ def residue(documents: DataFrame, least_records: int = 2) -> DataFrame:
     empty and blank texts have no case. Copies are judged alike. An empty table gives an empty result; other columns
     are ignored.
     """
-    seen = verdicts(documents)
-    seen.cache()
+    ensure_checkpoint_dir(documents.sparkSession)
+    seen = verdicts(documents).checkpoint()  # a few rows; the texts are read once
     certain = seen.where("kind is not null").select("doc_id", "kind")
     slots = seen.where("kind is null")
     aligned = slots.groupBy("template").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("value").alias("v"), F.max("value").alias("w"))

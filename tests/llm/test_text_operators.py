@@ -320,6 +320,23 @@ def test_residue(spark):
     assert residue.residue(df.where(F.lit(False))).count() == 0
 
 
+# lines that the grammars accept and that no list of heads may hide
+ACCEPTED = [
+    "blah blah blah", "test test test", "To be written", "content pending", "T.B.D.", "TBD", "- TBD", "Your title here", "Text will go here", "Texto de ejemplo", "Hier steht Text", "The page does not exist", "HTTP 500", "Connection refused", "Session expired", "This page is no longer available", "Are you a robot?", "Updated on [INSERT]",
+    '{"error": "' + "the upstream did not answer " * 60 + '", "status": 502}',
+]
+
+
+@pytest.mark.parametrize("text", ACCEPTED)
+def test_every_line_is_judged(spark, text):
+    df = spark.createDataFrame([(1, text, None, "a.md"), (2, "The shelf keeps its entries.", None, "a.md")], "doc_id bigint, text string, language string, file_path string")
+    assert [r.doc_id for r in residue.residue(df).collect()] == [1]
+
+
+def test_long_json_with_content_is_kept():
+    assert residue.judge(("{" + ",".join(f'"name{i}": "value of the entry {i}"' for i in range(60)) + ', "status": 200, "error": null}').encode())[0] is None
+
+
 def test_templates_align():
     a, b = residue.template_of("Dear undefined, thank you for your interest in the kiln."), residue.template_of("Dear {0}, thank you for your interest in the late vault.")
     assert a == b
