@@ -153,15 +153,14 @@ def pairs(text: str, kind: str) -> Iterator[tuple[str, str, str, int]]:
 
 
 JAVA_WORDS = frozenset("public private protected internal static final abstract synchronized native default strictfp".split())
-#: Quick tests by the plain engine for where a documented declaration or a type may begin; the recursive patterns decide.
-NEXT_HEAD = {
-    "script": r"(?:export|declare|async|function|const|let|var|static|public|private|protected|readonly|abstract|override|get|set)\b|[#\w$*]+[^\n;]*(?:\{|\(|,|=>)[ \t\r]*$|[#\w$*]+\([^\n]*[};][ \t\r]*$",
-    "java": r"(?:public|private|protected|static|final|abstract|default|synchronized|native|void)\b|[\w<>\[\], .]+\([^\n]*(?:\{|\}|,|\(|\))[ \t\r]*$|[\w<>\[\]., ]+ \w+\([^\n]*\)[^\n]*;[ \t\r]*$",
-    "php": r"(?:(?:abstract|final|public|protected|private|static|readonly)\s+)*function\b",
-    "go": r"func\b",
+#: Where a run of comments ends and something else follows; the recursive patterns decide whether it is a declaration.
+CANDIDATE = {
+    k: re.compile(r"(?m)^[ \t]*(?:(?:[^\n]*\*/|//[^\n]*" + (r"|#(?!\[)[^\n]*" if k == "php" else "") + r")[ \t\r]*\n[ \t]*(?![ \t\r\n}]|//|/\*" + (r"|#(?!\[)" if k == "php" else "") + r")|/\*[^\n]*?\*/[ \t]*(?=[^\s/}]))")
+    for k in BRACED
 }
-NOTE_LINES = {"script": r"(?:[ \t]*@[^\n]*\n)*", "java": r"(?:[ \t]*@[^\n]*\n)*", "php": r"(?:[ \t]*\#\[[^\n]*\n)*", "go": r""}
-CANDIDATE = {k: re.compile(r"(?m)^[ \t]*(?:(?:[^\n]*\*/|//[^\n]*" + (r"|#(?!\[)[^\n]*" if k == "php" else "") + r")[ \t\r]*\n" + NOTE_LINES[k] + r"[ \t]*|/\*[^\n]*?\*/[ \t]*)(?=" + h + ")") for k, h in NEXT_HEAD.items()}
+BLANKS = re.compile(r"\s*")
+# what an arrow without braces returns: up to the end of its statement
+ARROW_VALUE = regex.compile(r"(?:[^()\[\]{};,\n\"'`]++|" + STRINGS + "|" + TEMPLATE + r"|\n(?=\s*[.?:&|+*])|(?<B>[(\[{](?:[^()\[\]{}\"'`]++|" + STRINGS + "|" + TEMPLATE + r"|(?&B))*+[)\]}]))*+;?+", regex.S)
 TYPE_HEAD = {
     "script": re.compile(r"\b(class|interface|enum|namespace)\s+([A-Za-z_$][\w$]*)(?=[^{};()]*\{)"),
     "java": re.compile(r"\b(class|interface|enum|record)\s+([A-Za-z_$][\w$]*)(?=[^{};]*\{)"),
@@ -237,6 +236,8 @@ def _braced(text: str, kind: str) -> Iterator[tuple[str, str, str, int]]:
             continue
         name, sig = m[f"name{which}"], m[f"sig{which}"]
         whole = BODY_AT[kind].match(text, m.end())
+        if sig.endswith("=>") and not text.startswith("{", value := BLANKS.match(text, m.end()).end()):
+            whole = ARROW_VALUE.match(text, value)
         body = whole[0] if whole else ";" if text[m.end() : m.end() + 40].lstrip()[:1] == ";" else ""
         at = m.start(f"sig{which}")
         done = begin

@@ -220,6 +220,22 @@ def test_documented(ending, text, want):
         assert [p[0] for p in docpairs.pairs(variant, docpairs.LANGUAGES[ending])] == want
 
 
+# declarations that quick tests of a line can't tell
+UNUSUAL = [
+    ("java", f"public class B {{\n    /** {DOC} */\n    @RequestMapping(\n        value = \"/x\",\n        method = GET)\n    public String mapped() {{ return a; }}\n    /** {DOC} */\n    @Override public String named() {{\n        return b;\n    }}\n    /** {DOC} */\n    Shelf opened(int n) throws IOException\n    {{\n        return c;\n    }}\n}}\n", ["B.mapped", "B.named", "B.opened"]),
+    ("php", f"<?php\nclass C {{\n    /** {DOC} */\n    #[\n        Route('/x'),\n        Cached,\n    ]\n    public function keep() {{ return 1; }}\n}}\n", ["C.keep"]),
+    ("ts", f"class A {{\n  /** {DOC} */\n  total(items)\n  {{\n    return items;\n  }}\n  /** {DOC} */\n  summed(items) {{ // note\n    return items;\n  }}\n  /** {DOC} */\n  twice = (x) => x * 2;\n  run() {{\n    // {DOC}\n    this.call(1, 2);\n    // {DOC}\n    call(1, 2);\n    // {DOC}\n    if (a) {{ b(); }}\n  }}\n}}\n", ["A.total", "A.summed", "A.twice"]),
+]
+
+
+@pytest.mark.parametrize("ending,text,want", UNUSUAL)
+def test_every_comment_run_is_tried(ending, text, want):
+    for variant in (text, text.replace("\n", "\r\n")):
+        got = list(docpairs.pairs(variant, docpairs.LANGUAGES[ending]))
+        assert [p[0] for p in got] == want
+    assert ending != "ts" or got[2][2].endswith("x * 2;")
+
+
 def test_documented_in_spark(spark):
     df = points(spark, ("1", "a.PY", PAIRS[0][1]), ("1", "a.PY", PAIRS[0][1]), ("2", "a.py", None), ("3", "a.md", PAIRS[0][1]), ("4", "a.go", ""))
     assert sorted(map(tuple, docpairs.documented_symbols(df).collect())) == [("1", "Shelf.keep"), ("1", "drop")]
