@@ -27,6 +27,7 @@ LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 MAX_DEPTH = 24  # deeper directories are taken together with their ancestor of this depth
 MAX_LIBRARY_BYTES = 64 << 20
 SHINGLE = 5
+LEAST_SHARED = 4  # shingles; fewer are a phrase, not a copy
 
 HEADER = re.compile(
     r"(?i)\bcode generated\b.{0,80}\b(?:do not|don't)\b|@generated\b|<auto-?generated|\bauto-?generated\b|\bgenerated (?:file|code|by|from|automatically|with)\b(?! hand)|\b(?:this|the) (?:file|code|module|class)\b.{0,30}\b(?:is|was|has been)\b.{0,20}\b(?:generated|produced|created|written|emitted)\b.{0,12}\b(?:by|from|automatically|with)\b|\bautomatically (?:produced|generated|created|written|emitted)\b|\bmachine[- ](?:made|generated|written)\b|\bdo not (?:modify|edit|change|touch)\b.{0,6}\b(?:written|generated|created|produced|emitted|output)\b.{0,12}\bby\b|\b(?:changes|edits|modifications)\b.{0,40}\b(?:overwritten|be lost|discarded)\b|\bregenerate instead\b|\boutput of \S+ (?:gen|build|compile)"
@@ -62,29 +63,25 @@ def hash_words(w: list[str]) -> int:
 
 
 class Library:
-    """Known third-party files: their lines as a quick test, their shingles for the comparison."""
+    """Known third-party files: an inverted index of their shingles, which makes the comparison exact."""
 
     def __init__(self, files: list[str]):
-        self.lines: dict[str, set[int]] = {}
-        self.shingles: list[set[int]] = []
+        self.index: dict[int, list[int]] = {}
+        self.sizes: list[int] = []
         for k, text in enumerate(files):
-            for line in set(text.splitlines()):
-                bare = line.strip()
-                if len(bare) >= 24:
-                    self.lines.setdefault(bare, set()).add(k)
-            self.shingles.append(shingles(text))
+            own = shingles(text)
+            self.sizes.append(len(own))
+            for x in own:
+                self.index.setdefault(x, []).append(k)
 
     def overlap(self, text: str) -> float:
         """The largest share of the smaller one's shingles that the text has in common with a known file."""
-        votes: dict[int, int] = {}
-        for line in map(str.strip, text.splitlines()):
-            for k in self.lines.get(line, ()):
-                votes[k] = votes.get(k, 0) + 1
-        best = sorted((k for k, n in votes.items() if n >= 2), key=lambda k: -votes[k])[:4]
-        if not best:
-            return 0.0
         own = shingles(text)
-        return max(len(own & self.shingles[k]) / max(1, min(len(own), len(self.shingles[k]))) for k in best)
+        common: dict[int, int] = {}
+        for x in own:
+            for k in self.index.get(x, ()):
+                common[k] = common.get(k, 0) + 1
+        return max((n / max(1, min(len(own), self.sizes[k])) for k, n in common.items() if n >= LEAST_SHARED), default=0.0)
 
 
 def comment_lines(text: str) -> tuple[list[str], list[str]]:

@@ -146,6 +146,18 @@ def test_provenance(spark):
     assert provenance.judge_files(df.limit(0), library).count() == 0
 
 
+def test_copies_with_every_line_changed():
+    known = [f"// the same line of an open licence\n// another line of the same licence\nfunction other{k}(a, b) {{ return a * {k} - b; }}\n" for k in range(9)] + [LIBRARY]
+    library = provenance.Library(known)
+    changed = LIBRARY.replace("'", '"').replace(";", "").replace(", ", " ,\n   ").replace(" {\n", "\n{\n")
+    assert not {x.strip() for x in changed.splitlines() if len(x.strip()) >= 24} & {x.strip() for x in LIBRARY.splitlines()} - {"* (c) zorva contributors ,"}
+    assert library.overlap(changed.split("*/\n")[1]) > 0.9 and library.overlap(HAND) == library.overlap("// the same line of an open") == 0.0
+    brute = [provenance.shingles(x) for x in known]
+    for text in (*known, changed, HAND):
+        own = provenance.shingles(text)
+        assert library.overlap(text) == max([len(own & x) / min(len(own), len(x)) for x in brute if len(own & x) >= 4], default=0.0)
+
+
 @pytest.mark.parametrize("mark", ["//", "#", "*"])
 def test_markers_behind_a_long_licence(mark):
     licence = [f"Words {i} of a licence that goes on over many lines of prose, as such blocks do in most places" for i in range(40)]
