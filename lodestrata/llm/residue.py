@@ -1,9 +1,9 @@
 """Problem 9: template residue, filler, error pages and demands for scripts that stand in place of content.
 
-Records of the same template are aligned: a line is reduced to its template, in which the words that carry content
-are slots, and templates are counted over all documents. A slot that retains a variable's name, a default or a blank
-is residue: at once if its syntax leaves no doubt, otherwise if the template recurs with other values in that slot. Whole
-pages are reduced in the same way; a page that is nothing but a message is one of the error templates.
+A line is reduced to its template, in which the words that carry content are slots. A slot that retains a variable's
+name, a default or a blank is residue: at once if its syntax leaves no doubt, otherwise if the template recurs among such
+lines of all documents. Filled records of a template are not counted, and pages are not aligned: a page that is nothing
+but a message is found by the fixed messages below.
 
 Code blocks, inline code, quotations and quoted text explain or show such things and are taken out first.
 """
