@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+OPEN_COST = 4 << 20  # spark.sql.files.openCostInBytes: the least size of a split
+
 
 def local_session(cores: str | int = "*", app: str = "lodestrata") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
@@ -33,13 +35,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """`df` over at least as many partitions as there are cores, for stages that cost far more than moving their input.
 
-    A scan of many files is left as it is; only an input of fewer splits than cores, which is small, is exchanged. With
-    keys the rows are always placed by them, in a number of partitions that isn't coalesced afterwards.
+    No job is run to find out. A scan is cut into fewer splits than cores only below cores x openCostInBytes, so inputs
+    whose files together are smaller than that are exchanged, and larger ones are left as they are; what adaptive
+    execution coalesces keeps a partition for each core by itself. With keys the rows are always placed by them, in a
+    number of partitions that isn't coalesced afterwards.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     if keys:
-        return df.repartition(max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+        return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    return df.repartition(cores) if input_bytes(df) < cores * OPEN_COST else df
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Estimated size of the tables under a plan, from the optimizer's statistics; nothing is executed."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def ship(spark: SparkSession) -> None:
