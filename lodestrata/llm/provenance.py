@@ -2,31 +2,32 @@
 
 Each file is a node with evidence for the labels handwritten, generated, minified, vendored and blob, read from its
 whole content; each directory is a node whose state pulls its files and sub-directories towards one label. The factor
-graph of a project is a tree, so one upward and one downward pass of sum-product messages give the exact beliefs:
-parents and siblings inform a file through their directory. A directory's incoming messages are a sum over its
-children, which Spark aggregates on the map side, so a directory of any size costs one row per task; no group is
-collected.
+graph of a project is a tree, so one upward and one downward pass of sum-product messages give the exact marginals:
+parents and siblings inform a file through their directory, and what a node hears never holds what it said itself.
+
+Both passes go level by level. A directory's incoming messages are a sum over its children, which Spark aggregates on
+the map side, so a directory of any size costs one row per task and no group is collected. The states of a level are
+checkpointed; there are as many levels as the deepest path of the data has folders.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.paths import normal_path
 from lodestrata.session import ensure_checkpoint_dir, spread
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
-MAX_DEPTH = 24  # deeper directories are taken together with their ancestor of this depth
 MAX_LIBRARY_BYTES = 64 << 20
 SHINGLE = 5
+FILE_PULL, FOLDER_PULL = 0.7, 0.6  # how much of a child's label is its directory's
 LEAST_SHARED = 4  # shingles; fewer are a phrase, not a copy
 
 HEADER = re.compile(
@@ -131,7 +132,7 @@ def evidence(path: str, text: str, library: Library) -> tuple[float, ...]:
 
     lines = text.count("\n") + 1
     if ending in CODE or ending in ("css", "html", "scss"):
-        if size > 300 and ending in ("js", "css", "ts", "jsx", "mjs", "html", "php"):
+        if size and ending in ("js", "css", "ts", "jsx", "mjs", "html", "php"):
             blank = text.count(" ") + text.count("\n") + text.count("\t")
             mean = size / lines
             dense = blank / size
@@ -145,19 +146,19 @@ def evidence(path: str, text: str, library: Library) -> tuple[float, ...]:
         if BUILD_DIR.search("/" + path):
             minified += 1
 
-    if ending in CODE and size > 200:
+    if ending in CODE and size:
         # the marks that are left of a line without its words are its shape
         rows = [x for x in text.encode("utf-8", "replace").translate(None, WORD_BYTES).split(b"\n") if len(x) > 1]
         kinds = len(set(rows))
         longest = max(map(len, text.split("\n")))
         plain = len({x.translate(None, b"-+.") for x in rows})
-        if size > 900 and (plain <= max(10, 0.1 * len(rows)) or longest * 2 > size):
+        if (plain <= max(10, 0.1 * len(rows)) or longest * 2 > size):
             code = COMMENT.sub(" ", text)
             rest = LITERAL.sub("\0", code)
             names = len(re.findall(r"[A-Za-z_$][\w$]*", rest))
             literals = rest.count("\0")
             share = 1 - len(re.sub(r"[\0\s,\[\](){};:.+=>&|-]", "", rest)) / max(1, len(code.strip()))
-            if len(code) > 900 and names <= 14 + literals / 40 and share > 0.9 and (literals >= 24 or len(code) / max(1, literals) > 200):
+            if names <= 14 + literals / 40 and share > 0.9 and (literals >= 24 or len(code) / max(1, literals) > 200):
                 blob += 12
         if len(rows) >= 8 and kinds <= 0.3 * len(rows):
             members = len(MEMBER.findall(text))
@@ -169,7 +170,7 @@ def evidence(path: str, text: str, library: Library) -> tuple[float, ...]:
 
     if VENDOR_DIR.search("/" + path):
         vendored += 2
-    banner = "\n".join([*leading, *text.split("\n", 8)[:8]])
+    banner = "\n".join(comments)
     if CONTRIBUTORS.search(banner) and BANNER.search(banner):
         vendored += 8
     elif CONTRIBUTORS.search(banner):
@@ -180,25 +181,81 @@ def evidence(path: str, text: str, library: Library) -> tuple[float, ...]:
     return (0.0, generated, minified, vendored, blob)
 
 
-def compatibility(own: int, other: int, pull: float) -> float:
-    """Log of how well a child's label goes with its directory's."""
-    return math.log(pull) if own == other else math.log((1 - pull) / (len(LABELS) - 1))
+def compatibility(pull: float) -> list[list[float]]:
+    """How well a child's label goes with its directory's: `pull` if they are the same, the rest in equal parts."""
+    other = (1 - pull) / (len(LABELS) - 1)
+    return [[pull if i == k else other for k in range(len(LABELS))] for i in range(len(LABELS))]
 
 
-def messages(scores: np.ndarray, pull: float) -> np.ndarray:
-    """Rows of log messages: log Σ_own exp(score_own + compatibility(own, to)) for each label `to`, largest zero."""
-    links = np.array([[compatibility(i, k, pull) for k in range(len(LABELS))] for i in range(len(LABELS))])
-    out = np.log(np.exp(scores - scores.max(axis=1, keepdims=True)) @ np.exp(links))
-    return out - out.max(axis=1, keepdims=True)
+STATES = range(len(LABELS))
 
 
-def judge_files(points: DataFrame, library_files: DataFrame, file_pull: float = 0.45, folder_pull: float = 0.35) -> DataFrame:
-    """point_id, project_id, file_path, label, belief DOUBLE of each point of symbol_type `file` with a content.
+def send(rows: DataFrame, score: str, message: str, pull: float) -> DataFrame:
+    """`rows` with the log message of states `score`0.. through the compatibilities as `message`0.., the largest zero."""
+    links = compatibility(pull)
+    top = F.greatest(*(F.col(f"{score}{k}") for k in STATES))
+    rows = rows.withColumns({f"__x{k}": F.exp(F.col(f"{score}{k}") - top) for k in STATES})
+    sums = [F.log(sum((F.col(f"__x{j}") * links[j][k] for j in STATES), F.lit(0.0))) for k in STATES]
+    rows = rows.withColumns({f"__y{k}": x for k, x in enumerate(sums)})
+    top = F.greatest(*(F.col(f"__y{k}") for k in STATES))
+    rows = rows.withColumns({f"{message}{k}": F.col(f"__y{k}") - top for k in STATES})
+    return rows.drop(*(f"__{x}{k}" for x in "xy" for k in STATES))
 
-    Paths are brought to their normal notation; a null project is a tree of its own, a null path lies in the root.
-    Rows that repeat a point_id are one point. Null contents have no row; an empty text is handwritten. `library_files`
-    is a fixed list and is sent to all tasks; above MAX_LIBRARY_BYTES an error is raised. Other columns are ignored.
+
+def prefix(path: Column, n: Column) -> Column:
+    """The first n segments of a path."""
+    return F.array_join(F.slice(F.split(path, "/"), F.lit(1), n), "/")
+
+
+def propagate(nodes: DataFrame, file_pull: float = FILE_PULL, folder_pull: float = FOLDER_PULL) -> DataFrame:
+    """`nodes` (project_id, file_path and the log evidence e0..e4 of each file) with label and its belief DOUBLE.
+
+    project_id isn't null, paths are in their normal notation. Sum-product: messages of files into their folder, of
+    folders into their parents, deepest level first; then of parents into folders, each without what that folder sent;
+    a file's belief is its evidence and the message of its folder without its own.
     """
+    ensure_checkpoint_dir(nodes.sparkSession)
+    depth = F.size(F.split("file_path", "/")) - 1
+    nodes = send(nodes, "e", "u", file_pull).withColumn("folder", prefix(F.col("file_path"), depth))
+    own = nodes.groupBy("project_id", "folder").agg(*(F.sum(f"u{k}").alias(f"s{k}") for k in STATES))
+    deep = F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/")))
+    every = own.withColumn("deep", deep).withColumn("depth", F.explode(F.sequence(F.lit(0), "deep")))
+    every = every.select("project_id", prefix(F.col("folder"), F.col("depth")).alias("folder"), "depth", *(F.when(F.col("depth") == F.col("deep"), F.col(f"s{k}")).otherwise(0.0).alias(f"s{k}") for k in STATES))
+    tree = every.groupBy("project_id", "depth", "folder").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in STATES)).checkpoint()
+    deepest = tree.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return nodes.select("*", F.lit(LABELS[0]).alias("label"), F.lit(1.0).alias("belief")).drop("folder", *(f"u{k}" for k in STATES))
+
+    key, sums = ["project_id", "folder"], [f"s{k}" for k in STATES]
+    level: dict[int, DataFrame] = {}
+    for d in range(deepest, -1, -1):
+        here = tree.where(F.col("depth") == d).select(*key, *sums)
+        if d < deepest:
+            below = level[d + 1].select("project_id", F.col("parent").alias("folder"), *(F.col(f"m{k}").alias(f"s{k}") for k in STATES))
+            here = here.unionByName(below).groupBy(*key).agg(*(F.sum(x).alias(x) for x in sums))
+        level[d] = send(here, "s", "m", folder_pull).withColumn("parent", prefix(F.col("folder"), F.lit(d - 1)) if d > 1 else F.lit("")).checkpoint()
+
+    heard = level[0].select(*key, *(F.col(f"s{k}").alias(f"h{k}") for k in STATES))
+    folders = heard
+    for d in range(1, deepest + 1):
+        above = heard.select(F.col("project_id").alias("__p"), F.col("folder").alias("__f"), *(F.col(f"h{k}").alias(f"c{k}") for k in STATES))
+        both = level[d].join(above, (F.col("project_id") == F.col("__p")) & (F.col("parent") == F.col("__f")))
+        both = send(both.withColumns({f"c{k}": F.col(f"c{k}") - F.col(f"m{k}") for k in STATES}), "c", "d", folder_pull)
+        heard = both.select(*key, *((F.col(f"s{k}") + F.col(f"d{k}")).alias(f"h{k}") for k in STATES)).checkpoint()
+        folders = folders.unionByName(heard)
+
+    # a file hears its folder without its own message
+    files = nodes.join(folders, key)
+    files = send(files.withColumns({f"h{k}": F.col(f"h{k}") - F.col(f"u{k}") for k in STATES}), "h", "d", file_pull)
+    belief = F.array(*(F.col(f"e{k}") + F.col(f"d{k}") for k in STATES))
+    files = files.withColumn("__b", belief).withColumn("__top", F.array_max("__b"))
+    label = F.element_at(F.array(*map(F.lit, LABELS)), F.array_position("__b", F.col("__top")).cast("int"))
+    files = files.withColumns({"label": label, "belief": 1 / F.aggregate("__b", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top")))})
+    return files.drop("folder", "__b", "__top", *(f"{x}{k}" for x in "uhd" for k in STATES))
+
+
+def file_evidence(points: DataFrame, library_files: DataFrame) -> DataFrame:
+    """point_id, project_id, file_path, e0..e4 DOUBLE: log evidence of each judged file, once; a null project is \\0."""
     known = library_files.where(F.col("content").isNotNull())
     weight = known.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     if weight > MAX_LIBRARY_BYTES:
@@ -206,54 +263,25 @@ def judge_files(points: DataFrame, library_files: DataFrame, file_pull: float =
     library = Library([r.content for r in known.select("content").collect()])
 
     files = points.where((F.col("symbol_type") == "file") & F.col("content").isNotNull())
-    files = files.select("point_id", "project_id", normal_path(F.coalesce("file_path", F.lit(""))).alias("file_path"), "content")
+    files = files.select("point_id", F.coalesce("project_id", F.lit("\0")).alias("project_id"), normal_path(F.coalesce("file_path", F.lit(""))).alias("file_path"), "content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scores = [evidence(p, t, library) for p, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             own = np.array(scores, float).reshape(-1, len(LABELS))
-            up = messages(own, file_pull) if len(own) else own
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c) for c in own.T), *(pa.array(c) for c in up.T)], names=["point_id", "project_id", "file_path", *(f"{x}{k}" for x in "eu" for k in range(len(LABELS)))])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c) for c in own.T)], names=["point_id", "project_id", "file_path", *(f"e{k}" for k in STATES)])
 
-    ddl = "point_id string, project_id string, file_path string, " + ", ".join(f"{x}{k} double" for x in "eu" for k in range(len(LABELS)))
+    ddl = "point_id string, project_id string, file_path string, " + ", ".join(f"e{k} double" for k in STATES)
     ensure_checkpoint_dir(points.sparkSession)
-    nodes = spread(files).mapInArrow(read, ddl).checkpoint().dropDuplicates(["point_id"])
-    nodes = nodes.withColumn("project_id", F.coalesce("project_id", F.lit("\0")))
-    folder = F.array_join(F.slice(F.split("file_path", "/"), 1, F.least(F.size(F.split("file_path", "/")) - 1, F.lit(MAX_DEPTH))), "/")
-    nodes = nodes.withColumn("folder", F.when(F.instr("file_path", "/") > 0, folder).otherwise(F.lit("")))
-    n = range(len(LABELS))
-
-    # upward: the messages of files into their folder, then of folders into their parents, deepest first
-    folders = nodes.groupBy("project_id", "folder").agg(*(F.sum(f"u{k}").alias(f"s{k}") for k in n))
-    steps = F.split("folder", "/")
-    ancestors = folders.select("project_id", F.explode(F.transform(F.sequence(F.lit(0), F.when(F.col("folder") == "", 0).otherwise(F.size(steps))), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))).alias("folder"))
-    tree = ancestors.distinct().join(folders, ["project_id", "folder"], "left").select("project_id", "folder", *(F.coalesce(f"s{k}", F.lit(0.0)).alias(f"s{k}") for k in n))
-    tree = tree.withColumn("depth", F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/")))).withColumn("parent", F.when(F.col("depth") <= 1, "").otherwise(F.regexp_replace("folder", "/[^/]*$", "")))
-    # a folder's sum over its whole subtree, each level damped by the compatibility of a folder with its parent: the
-    # messages of a chain of equal compatibilities compose, so all levels are sent at once to every ancestor
-    far = tree.select("project_id", F.col("folder").alias("from"), "depth", *(f"s{k}" for k in n), F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("up_to"))
-    target = F.when(F.col("up_to") == 0, "").otherwise(F.array_join(F.slice(F.split("from", "/"), F.lit(1), F.col("up_to")), "/"))
-    damp = F.pow(F.lit(folder_pull), F.col("depth") - F.col("up_to"))
-    centred = [F.col(f"s{k}") - sum((F.col(f"s{j}") for j in n), F.lit(0.0)) / len(LABELS) for k in n]
-    bounded = [F.lit(3.0) * F.tanh(c / 3.0) * damp for c in centred]
-    subtree = far.select("project_id", target.alias("folder"), *(b.alias(f"b{k}") for k, b in enumerate(bounded))).groupBy("project_id", "folder").agg(*(F.sum(f"b{k}").alias(f"b{k}") for k in n))
-    # downward: what a folder hears from itself and its ancestors
-    reach = tree.select("project_id", F.col("folder").alias("at"), "depth", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("from_depth"))
-    reach = reach.withColumn("folder", F.when(F.col("from_depth") == 0, "").otherwise(F.array_join(F.slice(F.split("at", "/"), F.lit(1), F.col("from_depth")), "/")))
-    heard = reach.join(subtree, ["project_id", "folder"]).select("project_id", F.col("at").alias("folder"), *((F.tanh(F.col(f"b{k}") / 3.0) * F.pow(F.lit(folder_pull), F.col("depth") - F.col("from_depth"))).alias(f"d{k}") for k in n))
-    heard = heard.groupBy("project_id", "folder").agg(*(F.sum(f"d{k}").alias(f"d{k}") for k in n))
+    return spread(files).mapInArrow(read, ddl).checkpoint().dropDuplicates(["point_id"])
 
-    # a file hears its folder without its own message
-    lists = nodes.join(heard, ["project_id", "folder"], "left")
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own, up, down = (np.column_stack([b.column(f"{x}{k}").to_numpy(zero_copy_only=False).astype(float) for k in n]) for x in "eud")
-            belief = own + messages(np.nan_to_num(down) - np.tanh(up / 3.0), file_pull) if len(own) else own
-            best = belief.argmax(axis=1) if len(own) else np.zeros(0, int)
-            share = np.exp(belief - belief.max(axis=1, keepdims=True)) if len(own) else belief
-            certain = 1 / share.sum(axis=1) if len(own) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("point_id"), b.column("project_id"), b.column("file_path"), pa.array([LABELS[k] for k in best], pa.string()), pa.array(certain)], names=["point_id", "project_id", "file_path", "label", "belief"])
-
-    columns = ["point_id", F.when(F.col("project_id") != "\0", F.col("project_id")).alias("project_id"), "file_path", *(f"{x}{k}" for x in "eud" for k in n)]
-    return lists.select(*columns).mapInArrow(decide, "point_id string, project_id string, file_path string, label string, belief double")
+def judge_files(points: DataFrame, library_files: DataFrame, file_pull: float = FILE_PULL, folder_pull: float = FOLDER_PULL) -> DataFrame:
+    """point_id, project_id, file_path, label, belief DOUBLE of each point of symbol_type `file` with a content.
+
+    Paths are brought to their normal notation; a null project is a tree of its own, a null path lies in the root.
+    Rows that repeat a point_id are one point. Null contents have no row; an empty text is handwritten. `library_files`
+    is a fixed list and is sent to all tasks; above MAX_LIBRARY_BYTES an error is raised. Other columns are ignored.
+    """
+    judged = propagate(file_evidence(points, library_files), file_pull, folder_pull)
+    return judged.select("point_id", F.when(F.col("project_id") != "\0", F.col("project_id")).alias("project_id"), "file_path", "label", "belief")
