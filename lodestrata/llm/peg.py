@@ -4,8 +4,13 @@ A grammar is text: `rule <- expression` with ordered choice `/`, `*`, `+`, `?`,
 quoted tokens and upper-case token classes. A text is first lexed into a string with one character per token, so the
 grammar compiles as follows: a rule that doesn't call itself is a regular expression with atomic choices and
 possessive repeats, which mean exactly ordered choice and greedy repetition; a recursive rule becomes a function that
-memoizes its result by position and skips alternatives that can't begin with the token at hand. The furthest position
-at which anything failed is kept for the report.
+memoizes its result by position and skips alternatives that can't begin with the token at hand.
+
+Where brackets nest deeply, positions of opening brackets are parsed from right to left first: what stands inside is
+then remembered when the outside asks for it, so calls never nest deeper than a few brackets, however deep a text is.
+
+A text that isn't consumed is parsed once more by the same grammar compiled without regular expressions, token by
+token, which keeps the exact furthest position at which anything failed.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ import re
 from collections.abc import Callable
 
 END = "\0"
+DEEP = 64  # brackets that may be open at once before the insides are parsed first
 
 
 class Codes:
@@ -34,8 +40,8 @@ class Codes:
 
 # expressions: ("set", chars) ("seq", [e]) ("alt", [e]) ("star", e) ("plus", e) ("opt", e) ("and", e) ("not", e) ("rule", name)
 class Grammar:
-    def __init__(self, source: str, codes: Codes, start: str = "file"):
-        self.codes = codes
+    def __init__(self, source: str, codes: Codes, start: str = "file", single: bool = False):
+        self.source, self.codes, self.single = source, codes, single
         self.rules: dict[str, tuple] = {}
         for m in re.finditer(r"(?m)^\s*(\w+) <- (.*(?:\n\s+(?!\w+ <-).*)*)", source):
             self.tokens = re.findall(r"'[^']*'|\"[^\"]*\"|\w+|[/*+?&!()]", m[2])
@@ -43,9 +49,39 @@ class Grammar:
             self.rules[m[1]] = self.choice()
             assert self.at == len(self.tokens), (m[1], self.tokens[self.at :])
         self.start = start
-        self.regular = self.find_regular()
+        self.regular = set() if single else self.find_regular()
         self.first, self.nullable = self.find_first()
-        self.parse = self.build()
+        self.opening = frozenset(c for t in ("(", "[", "{") if t in codes.of for c in codes.both(t))
+        self.brackets = re.compile("[" + re.escape("".join(self.opening) + "".join(c for t in (")", "]", "}") if t in codes.of for c in codes.both(t))) + "]")
+        self.run = self.build()
+        self.tracker: Grammar | None = None
+
+    def parse(self, s: str) -> tuple[int, int]:
+        """(end or -1, furthest failure) of a string of codes that ends with END."""
+        end, far = self.inside_out(s)
+        if end < 0 and not self.single:
+            if self.tracker is None:
+                self.tracker = Grammar(self.source, self.codes, self.start, True)
+            end, far = self.tracker.inside_out(s)
+        return end, far
+
+    def inside_out(self, s: str) -> tuple[int, int]:
+        try:
+            return self.run(s, self.deep(s))
+        except RecursionError:  # what nests without brackets, as chains of unary operators: every place from the right
+            return self.run(s, range(len(s) - 1, -1, -1))
+
+    def deep(self, s: str) -> list[int]:
+        """Places of opening brackets from right to left, if more than DEEP are ever open at once."""
+        depth = most = 0
+        for c in self.brackets.findall(s):
+            if c in self.opening:
+                depth += 1
+                if depth > most:
+                    most = depth
+            else:
+                depth -= 1
+        return [m.start() for m in self.brackets.finditer(s) if m[0] in self.opening][::-1] if most > DEEP else []
 
     # reading the notation
     def choice(self) -> tuple:
@@ -125,6 +161,8 @@ class Grammar:
     def is_regular(self, e: tuple) -> bool:
         if e[0] == "set":
             return True
+        if self.single:
+            return False
         if e[0] == "rule":
             return e[1] in self.regular
         return all(map(self.is_regular, e[1] if e[0] in ("seq", "alt") else [e[1]]))
@@ -192,10 +230,13 @@ class Grammar:
                 self.emit(self.rules[n], 2, "fail")
                 lines = "\n".join(self.out)
                 body.append(f"    memo_{n} = {{}}\n    def r_{n}(p):\n        nonlocal far\n        q = memo_{n}.get(p)\n        if q is not None: return q\n        start = p\n        while True:\n{self.indent(lines)}\n            memo_{n}[start] = p\n            return p\n        memo_{n}[start] = -1\n        return -1")
-        source = "def parse(s):\n    far = 0\n" + "\n".join(body) + f"\n    end = r_{self.start}(0)\n    return end, far\n"
+        # places that are parsed ahead: every rule that may begin there
+        inner = [(n, self.constant(self.first[n], "F")) for n in self.rules if n != self.start and n not in self.regular]
+        ahead = "    for p in deep:\n        c = s[p]\n" + "".join(f"        if c in {f}: r_{n}(p)\n" for n, f in inner) + "    far = 0\n" if inner else ""
+        code = "def parse(s, deep):\n    far = 0\n" + "\n".join(body) + f"\n{ahead}    end = r_{self.start}(0)\n    return end, far\n"
         space = dict(self.consts)
-        exec(compile(source, "<grammar>", "exec"), space)
-        self.source = source
+        exec(compile(code, "<grammar>", "exec"), space)
+        self.code = code
         return space["parse"]
 
     @staticmethod
@@ -225,7 +266,10 @@ class Grammar:
             run: list[tuple] = []
             for y in [*x, None]:
                 if y is not None and self.is_regular(y):
-                    run.append(y)
+                    if self.single:
+                        self.regular_run(y, depth)
+                    else:
+                        run.append(y)
                     continue
                 if run:
                     self.regular_run(("seq", run) if len(run) > 1 else run[0], depth)

@@ -6,10 +6,8 @@ the parser failed gives the line, and the text around it the cause.
 
 from __future__ import annotations
 
-import ast
 import re
 import sys
-import warnings
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -19,7 +17,7 @@ from lodestrata.functions.paths import normal_path
 from lodestrata.llm.arrow import map_rows
 from lodestrata.llm.grammars import SOURCES
 
-DEPTH = 30_000
+DEPTH = 30_000  # calls of rules; brackets that nest deeper than a few are parsed from the inside out
 CONFLICT = re.compile(r"(?m)^(?:<{7}|>{7}|\|{7})(?: |$)|^={7}$")
 
 
@@ -36,18 +34,13 @@ def furthest_failure(text: str, language: str) -> int | None:
     codes, places, wrong = lex(text)
     if wrong is not None:
         return wrong
-    try:
-        end, far = parse(codes)
-    except RecursionError:  # nested deeper than can be followed: not judged
-        return None
+    end, far = parse(codes)
     return None if end >= 0 else places[min(far, len(places) - 1)]
 
 
 def judge(text: str, language: str) -> tuple[bool, int | None, str | None]:
     """(valid, line of the furthest failure, cause)."""
     at = furthest_failure(text, language)
-    if at is not None and language == "py" and _python_accepts(text):
-        at = None
     if at is None:
         return True, None, None
     line = text.count("\n", 0, at) + 1
@@ -62,17 +55,6 @@ def judge(text: str, language: str) -> tuple[bool, int | None, str | None]:
     return False, line, cause
 
 
-def _python_accepts(text: str) -> bool:
-    """The exact check that follows a rejection."""
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            ast.parse(text.removeprefix("﻿"))
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return False
-    return True
-
-
 def judge_files(points: DataFrame) -> DataFrame:
     """point_id, project_id, file_path, language, valid BOOLEAN, line INT, cause of each judged file.
 
