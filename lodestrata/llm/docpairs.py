@@ -37,19 +37,26 @@ GROUPS = r"""(?(DEFINE)
  (?<PAR>\((?:[^()"'`/\#]++|%(inline)s|[/\#]|(?&PAR))*+\))
  (?<SQ>\[(?:[^\[\]"'`/\#]++|%(inline)s|[/\#]|(?&SQ))*+\])
  (?<ANG><(?:[^<>(){};]++|(?&ANG))*+>)
+ %(body)s
 )"""
 BODY = r"(?<BODY>\{(?:[^{}\"'`/\#]++|%(inline)s|[/\#\"'`]|(?&BODY))*+\})"
 NAME = r"[A-Za-z_$][\w$]*+"
 
 
+# what an arrow without braces returns, up to the end of its statement; otherwise the balanced body
+ARROW_VALUE = r"(?:[^()\[\]{};,\n\"'`]++|" + STRINGS + "|" + TEMPLATE + r"|\n(?=\s*[.?:&|+*])|(?<B>[(\[{](?:[^()\[\]{}\"'`]++|" + STRINGS + "|" + TEMPLATE + r"|(?&B))*+[)\]}]))*+;?+"
+WHOLE = r"(?:(?<==>)\s*+(?<value>(?!\{)" + ARROW_VALUE + r")|(?<whole>[^{;]*+(?&BODY)))?+"
+
+
 def pattern(strings: str, hash_comments: bool, notes: str, heads: str) -> regex.Pattern:
     """`notes` are annotations between documentation and declaration, `heads` the signatures."""
     hash_part = r"|\#(?!\[)[^\n]*+" if hash_comments else ""
     comment = r"/\*(?:[^*]++|\*(?!/))*+\*/|//[^\n]*+" + hash_part
-    groups = GROUPS % {"comment": comment, "inline": strings + "|" + comment}
+    inline = strings + "|" + comment
+    groups = GROUPS % {"comment": comment, "inline": inline, "body": BODY % {"inline": inline}}
     doc = r"(?<doc>(?&COM)(?:[ \t\r]*+\n[ \t]*+(?&COM))*+)"
     return regex.compile(
-        groups + doc + r"(?<gap>(?:[ \t\r]*+\n)?+[ \t]*+(?:(?:" + notes + r")[ \t\r]*+\n?[ \t]*+)*+)(?:" + heads + r")",
+        groups + doc + r"(?<gap>(?:[ \t\r]*+\n)?+[ \t]*+(?:(?:" + notes + r")[ \t\r]*+\n?[ \t]*+)*+)(?:" + heads + r")" + WHOLE,
         regex.X | regex.S,
     )
 
@@ -158,9 +165,7 @@ CANDIDATE = {
     k: re.compile(r"(?m)^[ \t]*(?:(?:[^\n]*\*/|//[^\n]*" + (r"|#(?!\[)[^\n]*" if k == "php" else "") + r")[ \t\r]*\n[ \t]*(?![ \t\r\n}]|//|/\*" + (r"|#(?!\[)" if k == "php" else "") + r")|/\*[^\n]*?\*/[ \t]*(?=[^\s/}]))")
     for k in BRACED
 }
-BLANKS = re.compile(r"\s*")
-# what an arrow without braces returns: up to the end of its statement
-ARROW_VALUE = regex.compile(r"(?:[^()\[\]{};,\n\"'`]++|" + STRINGS + "|" + TEMPLATE + r"|\n(?=\s*[.?:&|+*])|(?<B>[(\[{](?:[^()\[\]{}\"'`]++|" + STRINGS + "|" + TEMPLATE + r"|(?&B))*+[)\]}]))*+;?+", regex.S)
+NO_BODY = re.compile(r"\s*+;")
 TYPE_HEAD = {
     "script": re.compile(r"\b(class|interface|enum|namespace)\s+([A-Za-z_$][\w$]*)(?=[^{};()]*\{)"),
     "java": re.compile(r"\b(class|interface|enum|record)\s+([A-Za-z_$][\w$]*)(?=[^{};]*\{)"),
@@ -235,10 +240,9 @@ def _braced(text: str, kind: str) -> Iterator[tuple[str, str, str, int]]:
         if which is None:
             continue
         name, sig = m[f"name{which}"], m[f"sig{which}"]
-        whole = BODY_AT[kind].match(text, m.end())
-        if sig.endswith("=>") and not text.startswith("{", value := BLANKS.match(text, m.end()).end()):
-            whole = ARROW_VALUE.match(text, value)
-        body = whole[0] if whole else ";" if text[m.end() : m.end() + 40].lstrip()[:1] == ";" else ""
+        body = next((x for x in (m["value"], m["whole"]) if x is not None), None)
+        if body is None:
+            body = ";" if NO_BODY.match(text, m.end()) else ""
         at = m.start(f"sig{which}")
         done = begin
         owner = next((t for t in reversed(types) if t[0] < at < t[1]), None)
@@ -313,8 +317,7 @@ def documented_functions(points: DataFrame) -> DataFrame:
     """point_id, symbol, documentation, code, line INT: each function or method with documentation of at least six words.
 
     The language is that of the file's extension, or of the column where there is none; other languages have no rows.
-    A symbol that a point declares more than once has one row, that of its first line. Rows that repeat a point_id are
-    one point. Null and empty contents have no rows; an empty table gives an empty result; other columns are ignored.
+    Overloads have a row each. Rows that repeat a point_id are one point. Null and empty contents have no rows; an empty table gives an empty result; other columns are ignored.
     """
     code = points.select("point_id", "file_path", "language", "symbol_type", "content").where(F.col("content").isNotNull() & ~F.coalesce(F.col("symbol_type") == "heading", F.lit(False)))
 
@@ -323,15 +326,12 @@ def documented_functions(points: DataFrame) -> DataFrame:
             kind = language_of(file_path, language)
             if kind is None:
                 return
-            seen = set()
-            for symbol, doc, body, line in pairs(content, kind):
-                if symbol not in seen:
-                    seen.add(symbol)
-                    yield point_id, symbol, doc, body, line
+            for pair in pairs(content, kind):
+                yield point_id, *pair
 
         return read
 
-    return map_rows(code, make, "point_id string, symbol string, documentation string, code string, line int")
+    return map_rows(code, make, "point_id string, symbol string, documentation string, code string, line int").dropDuplicates(["point_id", "symbol", "line"])
 
 
 def documented_symbols(points: DataFrame) -> DataFrame:
