@@ -1,9 +1,10 @@
 """One deterministic automaton for many patterns, run over many chunks at once.
 
-Patterns are determinized together by subset construction over byte classes. A buffer of texts is cut into
-overlapping chunks of equal length; all chunks advance by one byte with one table lookup, so the cost of a byte is a
-few nanoseconds whatever the number of patterns. A match that ends in the overlap is met twice and deduplicated by
-its absolute position.
+Patterns are determinized together by subset construction over byte classes. A buffer of texts is cut into chunks of
+equal length; all chunks advance by one byte with one table lookup, so the cost of a byte is a few nanoseconds whatever
+the number of patterns. Each chunk begins in the start state, which is only a guess: afterwards the beginning of each
+chunk is run again from the state in which the chunk before it ended, until both runs are in the same state or the chunk
+ends. So a match may be as long as the buffer and begin in any chunk; each is reported once, at its absolute place.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import re._parser as parser
 import numpy as np
 
 CHUNK = 8192
-OVERLAP = 64
+AGAIN = 64  # bytes after which a chunk that is run again is first compared with its first run
 
 
 class _Nfa:
@@ -99,14 +100,15 @@ class _Nfa:
 class Automaton:
     """Finds where any of the patterns (byte regular expressions without groups' values or lookarounds) ends."""
 
-    def __init__(self, patterns: list[str], fold_case: bool = False, max_states: int = 60_000):
+    def __init__(self, patterns: list[str], fold_case: bool | list[bool] = False, max_states: int = 60_000):
         nfa = _Nfa()
         start = nfa.state()
         finals: dict[int, int] = {}
-        for i, p in enumerate(patterns):
+        folds = fold_case if isinstance(fold_case, list) else [fold_case] * len(patterns)
+        for i, (p, fold) in enumerate(zip(patterns, folds)):
             begin = nfa.state()
             nfa.empty[start].append(begin)
-            finals[nfa.add(parser.parse(p.encode("utf-8")) if isinstance(p, str) else parser.parse(p), begin, fold_case)] = i
+            finals[nfa.add(parser.parse(p.encode("utf-8")) if isinstance(p, str) else parser.parse(p), begin, fold)] = i
         self.patterns = patterns
 
         cuts: dict[tuple, int] = {}
@@ -167,28 +169,45 @@ class Automaton:
         n = len(data)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        kinds = self.classes[data]
-        chunk = min(CHUNK, max(256, n // 512))
+        chunk = min(CHUNK, max(4 * AGAIN, n // 512))
         lanes = -(-n // chunk)
-        padded = np.full(lanes * chunk + OVERLAP, self.classes[0], np.uint8)
-        padded[:n] = kinds
-        view = np.lib.stride_tricks.as_strided(padded, (lanes, chunk + OVERLAP), (chunk, 1))
-        columns = np.ascontiguousarray(view.T)
-        state = np.full(lanes, self.start, np.int32)
-        where, which = [], []
-        for t in range(chunk + OVERLAP):
-            state = self.table[state + columns[t]]
-            hit = state >= self.first_accepting
-            if hit.any():
-                at = np.flatnonzero(hit)
-                where.append(at * chunk + t)
-                which.append(state[at] // self.width)
-        if not where:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        where, which = np.concatenate(where), np.concatenate(which)
+        padded = np.full(lanes * chunk, self.classes[0], np.uint8)
+        padded[:n] = self.classes[data]
+        columns = np.ascontiguousarray(padded.reshape(lanes, chunk).T)
+        every = np.arange(lanes)
+        begun = np.full(lanes, self.start, np.int32)
+        early, where, which = self.advance(columns, every, begun, 0, AGAIN)
+        ended, *more = self.advance(columns, every, early, AGAIN, chunk)
+        where, which = np.concatenate([where, more[0]]), np.concatenate([which, more[1]])
+        while True:
+            entered = np.concatenate([begun[:1], ended[:-1]])
+            wrong = np.flatnonzero(entered != begun)
+            if not len(wrong):
+                break
+            begun[wrong] = entered[wrong]
+            state, w1, s1 = self.advance(columns, wrong, entered[wrong], 0, AGAIN)
+            far = state != early[wrong]
+            early[wrong] = state
+            until = np.zeros(lanes, np.int64)  # what the earlier run of a chunk found before this is replaced
+            until[wrong] = np.where(far, chunk, AGAIN)
+            ended[wrong[far]], w2, s2 = self.advance(columns, wrong[far], state[far], AGAIN, chunk)
+            kept = where % chunk >= until[where // chunk]
+            where, which = np.concatenate([where[kept], w1, w2]), np.concatenate([which[kept], s1, s2])
         inside = where < n
         where, which = where[inside], which[inside]
-        # the copy met last in an overlap has seen fewer bytes: keep the one of the chunk that saw more
-        order = np.lexsort((which, where))
-        where, which = where[order], which[order]
-        return where, which
+        order = np.argsort(where, kind="stable")
+        return where[order], which[order]
+
+    def advance(self, columns: np.ndarray, lanes: np.ndarray, state: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The states of some chunks after their bytes start..stop, and the positions and states at which patterns ended."""
+        chunk, whole = len(columns), len(lanes) == columns.shape[1]
+        where, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(lanes):
+            for t in range(start, stop):
+                state = self.table[state + (columns[t] if whole else columns[t, lanes])]
+                hit = state >= self.first_accepting
+                if hit.any():
+                    at = np.flatnonzero(hit)
+                    where.append(lanes[at] * chunk + t)
+                    which.append(state[at] // self.width)
+        return state, np.concatenate(where), np.concatenate(which)

@@ -1,9 +1,11 @@
 """Problem 1: credentials in stored payloads, and redaction that keeps the code around them usable.
 
-Token formats, key armor, connection strings, header, query and assignment heads are determinized into one automaton,
-which runs over overlapping chunks of whole Arrow buffers. Where it stops, the grammar of that place is read on the
-text around: which literal, bare word or decoded value is assigned, and whether it is written out or a placeholder, a
-reference, a label or a digest. Spans are absolute; the same span met from two heads or chunks counts once.
+One deterministic automaton, kept as the product of two factors, runs over chunks of whole Arrow buffers. It holds the
+complete grammars of token formats (first factor), key armor and connection strings, of any length: where one of these
+ends there is one, and only its span is read on the text. The second factor also holds the heads of settings, headers,
+queries and calls; there the grammar of the place is read on the text around: which literal, bare word or decoded value
+is assigned, and whether it is written out or a placeholder, a reference, a label or a digest. Spans are absolute; the
+same span met from two heads counts once.
 """
 
 from __future__ import annotations
@@ -26,23 +28,22 @@ SECRET_WORDS = frozenset("password passwd passwort passphrase passcode pwd pw pa
 KEY_WORDS = frozenset("api access private signing encryption secret auth master session client webhook service account shared hmac crypto deploy storage license tls ssl ssh admin app server write admin".split())
 HARMLESS = frozenset("public label name ref ttl hint placeholder title message field column header_name prompt url uri path file policy length type kind id hash digest checksum sha expires expiry timeout count limit index".split())
 # Token formats in use.
-TOKENS = re.compile(
-    r"""(?<![A-Za-z0-9_+/-])(?:
-    A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])
-    |gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|glpat-[\w-]{18,}|gl(?:dt|rt|cbt)-[\w-]{18,}
-    |xox[abeoprs]-[\w-]{16,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[\w-]{32,}
-    |eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}|SG\.[\w-]{16,}\.[\w-]{20,}
-    |npm_[A-Za-z0-9]{30,}|hf_[A-Za-z]{30,}|dop_v1_[0-9a-f]{40,}|shp(?:at|ca|pa|ss)_[0-9a-fA-F]{30,}|pypi-[\w-]{40,}|ya29\.[\w-]{30,}|sk-(?:proj-|ant-)?[\w-]{32,}
-    )""",
-    re.X,
-)
+FORMATS = [
+    r"A(?:KIA|SIA)[A-Z0-9]{16}", r"gh[pousr]_[A-Za-z0-9]{30,}", r"github_pat_\w{30,}", r"glpat-[\w-]{18,}", r"gl(?:dt|rt|cbt)-[\w-]{18,}",
+    r"xox[abeoprs]-[\w-]{16,}", r"[sr]k_live_[A-Za-z0-9]{16,}", r"AIza[\w-]{32,}", r"eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}", r"SG\.[\w-]{16,}\.[\w-]{20,}",
+    r"npm_[A-Za-z0-9]{30,}", r"hf_[A-Za-z]{30,}", r"dop_v1_[0-9a-f]{40,}", r"shp(?:at|ca|pa|ss)_[0-9a-fA-F]{30,}", r"pypi-[\w-]{40,}", r"ya29\.[\w-]{30,}", r"sk-(?:proj-|ant-)?[\w-]{32,}",
+]
+#: The span of a token; of fixed length is only the first format, after which no letter or digit may follow.
+TOKENS = re.compile(r"(?<![A-Za-z0-9_+/-])(?:" + FORMATS[0] + "(?![A-Za-z0-9])|" + "|".join(FORMATS[1:]) + ")")
+LAST_REPEAT = re.compile(r"\{(\d+),\}$")
+# Grammars that end at a place. A format ends where it has its least length, a connection string after its `@`.
+TOKEN, ARMORED, CONNECTED, HEAD = range(4)
+FORMAT_ENDS = ["[^A-Za-z0-9_+/-]" + LAST_REPEAT.sub(r"{\1}", f) for f in FORMATS]
+GRAMMARS = [(ARMORED, r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"), (CONNECTED, r"[A-Za-z0-9+.-]://[^\s:@/\"'<>`]*:[^\s\"'<>`@][^\s\"'<>`@]+@[\w.\[{$\x80-\xff-]")]
 # A word that ends a name is followed by no letter, or by one of the words that may come after it.
 NAME_ENDS = "([^a-z]|value|val|str|plain|text|default)"
-#: Heads of all grammars for the automaton, ASCII letters in either case. None ends in a run of blanks, so any may follow.
+#: Heads, ASCII letters in either case. None ends in a run of blanks, so any may follow.
 HEADS = [
-    r"A[KS]IA[A-Z0-9]{4}", r"gh[pousr]_[a-z0-9]{4}", r"github_pat_", r"gl(pat|dt|rt|cbt)-", r"xox[abeoprs]-", r"[sr]k_live_", r"AIza[a-z0-9_-]{4}", r"eyJ[a-z0-9_-]{4}", r"SG\.[a-z0-9_-]{4}", r"npm_[a-z0-9]{8}", r"hf_[a-z]{8}", r"dop_v1_", r"shp(at|ca|pa|ss)_", r"pypi-", r"ya29\.", r"sk-[a-z0-9_-]{4}",
-    r"PRIVATE KEY( BLOCK)?-----",
-    r"://",
     r"[?&](api_?key|apikey|access_token|auth_?token|token|sig|signature|auth|key|secret|password|passwd|pwd|client_secret|sas)=",
     r"basic[^a-z0-9_]",
     r"-u[ =]", r"--user[ =]", r"login[^a-z]", r"identified[^a-z]",
@@ -56,10 +57,11 @@ ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 ARMOR_HEADERS = re.compile(r"(?:(?:\s|\\[nr])*(?:Proc-Type|DEK-Info|Version|Comment|Hash): ?(?:(?!\\[nr])[^\n])*)*")
 ARMOR_RUN = re.compile(r"(?P<between>(?:\\[nr]|//(?=\s)|\+(?=[\s\"'`])|[\s\"'`.#*;,()>|-])*+)(?P<run>[A-Za-z0-9+/]+={0,2})")
 ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-CONNECTION = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,20}://(?P<user>[^\s:@/\"'<>`]{0,60}):(?P<value>[^\s\"'<>`@]{2,120}(?:@[^\s\"'<>`@/]+)*?)@(?=[\w.\[{$-])")
+PROSE = re.compile(r"[a-z]{2,} [a-z]{2,}")
+CONNECTION = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,20}://(?P<user>[^\s:@/\"'<>`]*):(?P<value>[^\s\"'<>`@]{2,}(?:@[^\s\"'<>`@/]+)*?)@(?=[\w.\[{$-])")
 QUERY = re.compile(r"(?i)[?&](?:api_?key|access_token|auth_?token|token|sig|signature|auth|key|secret|password|passwd|pwd|client_secret|sas)=(?P<value>[^\s&\"'<>`#)]{6,})")
 HEADER = re.compile(r"(?i)\b(?P<kind>bearer|basic|token)\s+(?P<value>[A-Za-z0-9+/_.~-]{8,}={0,2})")
-LOGIN = re.compile(r"(?i)(?:(?:^|\s)(?:-u|--user)[ =]+[\"']?[^\s:\"']{1,60}:(?P<a>[^\s\"']{4,})|\blogin\s*[:=]\s*[\w.@-]{1,60}\s*/\s*(?P<b>\S{4,}))")
+LOGIN = re.compile(r"(?i)(?:(?:^|\s)(?:-u|--user)[ =]+[\"']?[^\s:\"']+:(?P<a>[^\s\"']{4,})|\blogin\s*[:=]\s*[\w.@-]+\s*/\s*(?P<b>\S{4,}))")
 SQL = re.compile(r"(?i)\b(?:IDENTIFIED\s+BY|WITH\s+(?:ENCRYPTED\s+)?PASSWORD|SET\s+PASSWORD\s*=)\s+(?P<q>['\"])(?P<value>[^'\"]+)(?P=q)")
 SQL_SETTING = re.compile(r"(?i)\bval(?:ue)?\s*=\s*'(?P<value>[^']*)'\s+WHERE\s+\w+\s*=\s*'(?P<name>[^']*)'")
 NAME = re.compile(
@@ -107,7 +109,7 @@ def reference(v: str) -> bool:
 def strong(v: str, least: int = 6) -> bool:
     """Whether a value given to a secret name is one written out."""
     v = v.strip()
-    if len(v) < least or len(v) > 4096 or re.search(r"\s", v) or placeholder(v) or reference(v):
+    if len(v) < least or re.search(r"\s", v) or placeholder(v) or reference(v):
         return False
     if re.fullmatch(r"\d+[a-z]{0,2}|[\d.,:-]+|true|false|v?\d+(?:\.\d+)+", v, re.I):
         return False
@@ -137,6 +139,16 @@ def decoded(v: str) -> list[str]:
 STEP = re.compile(r"\"\"\"(?:\\.|(?!\"\"\")[^\\])*\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*.*?\*/|(?P<open>[(\[])|(?P<close>[)\]])|(?P<comma>,)|(?P<stop>[;\n])", re.S)
 
 
+CONTINUED = re.compile(r"\s*(?:\.(?!\.)|\+)")
+
+
+def last_mark(text: str, start: int, end: int) -> str:
+    """The last character of text[start:end] that isn't blank."""
+    while end > start and text[end - 1].isspace():
+        end -= 1
+    return text[end - 1 : end] if end > start else ""
+
+
 def expression_end(text: str, start: int, depth: int = 0) -> int:
     """Where the expression that begins at `start` inside of `depth` brackets ends: brackets are followed to their balance."""
     line = -1
@@ -149,7 +161,7 @@ def expression_end(text: str, start: int, depth: int = 0) -> int:
             return m.start()
         if m["stop"]:
             line = m.start() if line < 0 else line
-            if depth == 0 and (m["stop"] == ";" or not re.search(r"[+.]\s*$", text[max(start, m.start() - 40) : m.start()]) and not re.match(r"\s*(?:\.(?!\.)|\+)", text[m.end() : m.end() + 80])):
+            if depth == 0 and (m["stop"] == ";" or last_mark(text, start, m.start()) not in ("+", ".") and not CONTINUED.match(text, m.end())):
                 return m.start()
     return len(text) if depth == 0 else line if line >= 0 else len(text)
 
@@ -169,18 +181,19 @@ class Finder:
                     return
         self.spans.setdefault(start, list(spans))
 
-    def line(self, at: int) -> None:
+    def line(self, at: int, kinds: set[int]) -> None:
+        """Read the line around a place; `kinds` are the grammars that end on it."""
         text = self.text
         lo = text.rfind("\n", 0, at) + 1
         hi = text.find("\n", at)
         hi = len(text) if hi < 0 else hi
         row = text[lo:hi]
-        for m in ARMOR.finditer(row):
+        for m in ARMOR.finditer(row) if ARMORED in kinds else ():
             self.armor(lo + m.start(), lo + m.end())
-        for m in TOKENS.finditer(row):
+        for m in TOKENS.finditer(row) if TOKEN in kinds else ():
             if not placeholder(m[0]) and not re.search(r"(?i)example|x{5}", m[0]):
                 self.add((lo + m.start(), lo + m.end()))
-        for m in CONNECTION.finditer(row):
+        for m in CONNECTION.finditer(row) if CONNECTED in kinds else ():
             v = m["value"]
             if not placeholder(v) and not re.fullmatch(r"(?i)\$.*|pass(?:word|wd)?|pw|pwd|secret|token|user|\d{1,5}(?:/.*)?|.*\{.*\}.*", v):
                 self.add((lo + m.start("value"), lo + m.end("value")))
@@ -241,7 +254,7 @@ class Finder:
             if width and size < width:
                 break
             width = width or size
-        if end and end.start() - at <= 400:
+        if end and not PROSE.search(self.text, at, end.start()):
             at = end.end()
         if at > first:
             self.add((s, at))
@@ -330,18 +343,53 @@ class Finder:
             self.add((lo + m.start(2), lo + m.end(2)))
 
 
-def find_all(text: str, places: list[int], extension: str) -> list[list[tuple[int, int]]]:
-    """Spans of each credential in the order of their beginnings; `places` are where the automaton stopped."""
-    finder, done = Finder(text, extension), -1
-    for at in places:
-        if at <= done:
-            continue
-        end = text.find("\n", at)
-        finder.line(at)
-        done = end if end >= 0 else len(text)
+def find_all(text: str, places: list[int], kinds: list[int], extension: str) -> list[list[tuple[int, int]]]:
+    """Spans of each credential in the order of their beginnings; at `places` the automaton stopped, with what ends there."""
+    finder, at = Finder(text, extension), 0
+    while at < len(places):
+        end = text.find("\n", places[at])
+        own, first = set(), at
+        while at < len(places) and (end < 0 or places[at] <= end):
+            own.add(kinds[at])
+            at += 1
+        finder.line(places[first], own)
     return [finder.spans[s] for s in sorted(finder.spans)]
 
 
+class Scanner:
+    """Both factors of the automaton over a buffer of texts."""
+
+    def __init__(self):
+        self.formats = Automaton(FORMAT_ENDS)
+        self.rest = Automaton([g for _, g in GRAMMARS] + HEADS, [False] * len(GRAMMARS) + [True] * len(HEADS))
+        self.kind = np.array([min((GRAMMARS[x][0] if x < len(GRAMMARS) else HEAD for x in a), default=HEAD) for a in self.rest.accepts])
+
+    def places(self, content: pa.Array) -> Iterator[tuple[int, str, list[int], list[int]]]:
+        """(row, text, places in characters, kinds) of each row in which the automaton stopped."""
+        wide = pa.types.is_large_string(content.type)
+        offsets = np.frombuffer(content.buffers()[1], np.int64 if wide else np.int32)[content.offset : content.offset + len(content) + 1].astype(np.int64)
+        if not len(content):
+            return
+        base = int(offsets[0])
+        data = np.frombuffer(content.buffers()[2] or b"", np.uint8)[base : int(offsets[-1])]
+        # a line end before each text, so that none continues the one before it
+        data = np.insert(data, offsets[:-1] - base, 10)
+        starts = offsets[:-1] - base + np.arange(1, len(content) + 1)
+        ends, _ = self.formats.ends(data)
+        others, states = self.rest.ends(data)
+        where = np.concatenate([ends, others])
+        kinds = np.concatenate([np.full(len(ends), TOKEN), self.kind[states]])
+        order = np.argsort(where, kind="stable")
+        where, kinds = where[order], kinds[order]
+        rows = np.searchsorted(starts, where, "right") - 1
+        found, first = np.unique(rows, return_index=True)
+        for i, lo, hi in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(rows)]):
+            text = content[i].as_py() if i >= 0 else None
+            if text:
+                own = np.maximum(where[lo:hi] - starts[i], 0)
+                yield i, text, own.tolist() if text.isascii() else _characters(text, own), kinds[lo:hi].tolist()
+
+
 def extension_of(path: str | None) -> str:
     base = re.split(r"[/\\]", path or "")[-1]
     return base.rpartition(".")[2].lower() if "." in base else ""
@@ -364,27 +412,16 @@ def redact(text: str, found: list[list[tuple[int, int]]], mark: str = "REDACTED"
 
 def scan(points: DataFrame, redacted: bool) -> DataFrame:
     """The scan behind both queries, one row per stored row."""
-    automaton = Automaton(HEADS, fold_case=True)
+    scanner = Scanner()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             content = b.column(2)
             if isinstance(content, pa.ChunkedArray):
                 content = content.combine_chunks()
-            wide = pa.types.is_large_string(content.type)
-            offsets = np.frombuffer(content.buffers()[1], np.int64 if wide else np.int32)[content.offset : content.offset + len(content) + 1]
-            base = int(offsets[0]) if len(offsets) else 0
-            data = np.frombuffer(content.buffers()[2] or b"", np.uint8)[base : int(offsets[-1])] if len(offsets) else np.zeros(0, np.uint8)
-            ends, _ = automaton.ends(data)
-            starts = offsets.astype(np.int64) - base
-            rows = np.searchsorted(starts, ends, "right") - 1
             ids, lines, kept = [], [], []
-            for i in np.unique(rows):
-                text = content[i].as_py()
-                if not text:
-                    continue
-                places = (ends[rows == i] - starts[i]).tolist() if text.isascii() else _characters(text, np.unique(ends[rows == i] - starts[i]))
-                found = find_all(text, places, extension_of(b.column(1)[i].as_py()))
+            for i, text, places, kinds in scanner.places(content):
+                found = find_all(text, places, kinds, extension_of(b.column(1)[i].as_py()))
                 if not found:
                     continue
                 if redacted:
@@ -408,8 +445,9 @@ def _characters(text: str, places: np.ndarray) -> list[int]:
     """Byte places of a text as character places."""
     data, out, at, chars = text.encode("utf-8"), [], 0, 0
     for p in places.tolist():
-        chars += len(data[at:p].decode("utf-8", "ignore"))
-        at = p
+        if p > at:
+            chars += len(data[at:p].decode("utf-8", "ignore"))
+            at = p
         out.append(min(chars, len(text) - 1))
     return out
 

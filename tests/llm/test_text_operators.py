@@ -46,16 +46,17 @@ PLAIN = [
 
 @pytest.fixture(scope="module")
 def heads():
-    return Automaton(credentials.HEADS, fold_case=True)
+    return credentials.Scanner()
 
 
-def found_lines(heads, path, text):
-    import numpy as np
+def found_in(heads, path, text):
+    import pyarrow as pa
+
+    return next((credentials.find_all(t, places, kinds, credentials.extension_of(path)) for _, t, places, kinds in heads.places(pa.array([text]))), [])
 
-    data = text.encode()
-    ends = np.unique(heads.ends(np.frombuffer(data, np.uint8))[0])
-    places = credentials._characters(text, ends)
-    return [text.count("\n", 0, f[0][0]) + 1 for f in credentials.find_all(text, places, credentials.extension_of(path))]
+
+def found_lines(heads, path, text):
+    return [text.count("\n", 0, f[0][0]) + 1 for f in found_in(heads, path, text)]
 
 
 @pytest.mark.parametrize("path,text,line", SECRETS)
@@ -91,18 +92,12 @@ def test_credentials_in_spark(spark):
 
 def test_redaction_keeps_lines_and_quotes(heads):
     text = SECRETS[13][1] + '\nx = "a"'
-    import numpy as np
-
-    places = np.unique(heads.ends(np.frombuffer(text.encode(), np.uint8))[0]).tolist()
-    out = credentials.redact(text, credentials.find_all(text, places, "ts"))
+    out = credentials.redact(text, found_in(heads, "a.ts", text))
     assert out.count("\n") == text.count("\n") and out.startswith("let tlsKey = `REDACTED") and out.endswith('`;\nx = "a"') and "MIIE" not in out
 
 
 def redacted(heads, path, text):
-    import numpy as np
-
-    ends = np.unique(heads.ends(np.frombuffer(text.encode(), np.uint8))[0])
-    return credentials.redact(text, credentials.find_all(text, credentials._characters(text, ends), credentials.extension_of(path)))
+    return credentials.redact(text, found_in(heads, path, text))
 
 
 def test_credentials_are_followed_to_their_end(heads):
