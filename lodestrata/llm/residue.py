@@ -1,9 +1,11 @@
 """Problem 9: template residue, filler, error pages and demands for scripts that stand in place of content.
 
-A line is reduced to its template, in which the words that carry content are slots. A slot that retains a variable's
-name, a default or a blank is residue: at once if its syntax leaves no doubt, otherwise if the template recurs among such
-lines of all documents. Filled records of a template are not counted, and pages are not aligned: a page that is nothing
-but a message is found by the fixed messages below.
+Lines of all documents are aligned. A line with something that may fill a slot (a variable, a default, a blank) asks for
+the records of its template: lines of equal shape around the slot, filled ones included, copies of a line counted once.
+Positions in which these records differ are slots. A variable in the syntax of a template language marks its slot by
+itself; anything else is residue only if the alignment shows a slot there, which other records fill with something else.
+Pages that repeat but for numbers and ids, and speak of an error, are templates of error pages as a whole; the fixed
+messages below need no repetition where nothing but them is on a page.
 
 Code blocks, inline code, quotations and quoted text explain or show such things and are taken out first.
 """
@@ -14,10 +16,12 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.slots import BITS, DEFAULT, FILLED, PAGE, VARIABLE, aligned_records, line_slots, page_of
 from lodestrata.session import ensure_checkpoint_dir, spread
 
 # Languages of files whose text is code.
@@ -43,27 +47,19 @@ FILLER = re.compile(
 )
 SLIDE = frozenset("title subtitle heading headline text caption section description content author date name name".split()) | {"bullet point", "click to add title", "click to add text", "your title", "sub title"}
 SCRIPTS = re.compile(
-    r"(?i)^\W*(?:noscript: .{0,80}|(?:please |you (?:need|have|must) to? ?|kindly )?(?:enable|activate|turn on|allow|switch on|aktivieren sie|active|activa|habilite|etkinleştirin|activez)(?: sie)? (?:java ?)?scripts?.{0,90}|.{0,60}\b(?:needs?|requires?|uses|depends on|relies on|benötigt|erfordert|requiere|gerektirir)\b (?:java ?)?scripts?\b.{0,60}|bitte (?:aktivieren|erlauben|schalten) sie (?:java ?)?scripts?.{0,60}|.{0,60}(?:java ?)?script(?:'i|leri|s|ing)?\b.{0,40}\b(?:etkinleştirin|açın|is disabled|are disabled|is required|are required|is off|deaktiviert|desactivado|switched off|turned off|must be (?:on|enabled|allowed)|enabled to).{0,60}|your browser (?:does not|doesn't) support (?:java ?)?scripts?.{0,60}|.{0,60}without (?:java ?)?script(?:s|ing)?\W*|checking your browser.{0,90}|.{0,40}scripts? and cookies must be.{0,20}|you need to enable (?:java ?)?scripts?.{0,60})\W*$"
+    r"(?i)^\W*(?:noscript: [^.!?]*(?:[.!?]+[^.!?]*)?|(?:please |you (?:need|have|must) to? ?|kindly )?(?:enable|activate|turn on|allow|switch on|aktivieren sie|active|activa|habilite|etkinleştirin|activez)(?: sie)? (?:java ?)?scripts?[^.!?]*(?:[.!?]+[^.!?]*)?|(?:\S+ +){0,9}?(?:needs?|requires?|uses|depends on|relies on|benötigt|erfordert|requiere|gerektirir)\b (?:java ?)?scripts?\b[^.!?]*(?:[.!?]+[^.!?]*)?|bitte (?:aktivieren|erlauben|schalten) sie (?:java ?)?scripts?[^.!?]*(?:[.!?]+[^.!?]*)?|(?:\S+ +){0,9}?(?:java ?)?script(?:'i|leri|s|ing)?\b(?:\W+\w+){0,6}?\W+(?:etkinleştirin|açın|is disabled|are disabled|is required|are required|is off|deaktiviert|desactivado|switched off|turned off|must be (?:on|enabled|allowed)|enabled to)[^.!?]*(?:[.!?]+[^.!?]*)?|your browser (?:does not|doesn't) support (?:java ?)?scripts?[^.!?]*(?:[.!?]+[^.!?]*)?|(?:\S+ +){0,9}?without (?:java ?)?script(?:s|ing)?\W*|checking your browser[^.!?]*(?:[.!?]+[^.!?]*)?|(?:\S+ +){0,12}?scripts? and cookies must be[^.!?]*(?:[.!?]+[^.!?]*)?|you need to enable (?:java ?)?scripts?[^.!?]*(?:[.!?]+[^.!?]*)?)\W*$"
 )
 ERROR = re.compile(
-    r"(?i)^\W*(?:(?:error|http|fehler|hata|status)?[ :]*[45]\d\d\b.{0,90}|(?:\w+ )?(?:page|site|file|seite|sayfa|página|resource|url|document)\b.{0,30}(?:not found|nicht gefunden|bulunamadı|no encontrad[ao]|could not be (?:found|located)|is gone|does not exist|existiert nicht|no existe|unavailable|expired)|(?:the )?requested (?:\w+ )?(?:resource|page|url|document|file)\b.{0,60}|.{0,20}could not be (?:located|found|loaded|reached|displayed)\b.{0,40}|access (?:is |was )?denied.{0,40}|(?:zugriff|acceso|erişim)\W? (?:verweigert|denegado|engellendi|reddedildi)|permission denied|forbidden|unauthorized|.{0,20}something went wrong.{0,40}|(?:an )?(?:unexpected |internal |unknown )?(?:server )?error(?: has)? occurred.{0,40}|internal server error|bad (?:gateway|request)|gateway time-?out|(?:the )?(?:request|connection|upstream|session)\b.{0,20}(?:timed out|has expired|expired|was reset|refused).{0,50}|\w+ expired\W+please log in.{0,20}|too many requests.{0,40}|rate limit exceeded.{0,40}|service (?:temporarily )?unavailable|(?:this|the) (?:\w+ )?(?:repository|account|page|site|project|channel|video|content|user|organisation|organization)\b.{0,20}(?:has been|was|is|are) (?:disabled|suspended|removed|deleted|blocked|down|unavailable|no longer available|not available).{0,40}|(?:we are )?(?:down for|under) maintenance.{0,30}|sayfa bulunamadı|seite nicht gefunden|página no encontrada|page introuvable|not found|etwas ist schiefgelaufen.{0,30}|bir (?:şeyler ters gitti|hata oluştu).{0,30}|algo salió mal.{0,30}|are you (?:a )?(?:human|robot).{0,40}|verify (?:that )?you are (?:a )?human.{0,40}|(?:php )?(?:fatal|parse) error\b.{0,300}|uncaught \w*(?:error|exception)\b.{0,300}|traceback \(most recent call last\).{0,20}|unhandled exception.{0,200}|thrown in \S+ on line \d+)\W*$"
+    r"(?i)^\W*(?:(?:error|http|fehler|hata|status)?[ :]*[45]\d\d\b[^.!?]*(?:[.!?]+[^.!?]*)?|(?:\w+ )?(?:page|site|file|seite|sayfa|página|resource|url|document)\b(?:\W+\w+){0,5}?\W+(?:not found|nicht gefunden|bulunamadı|no encontrad[ao]|could not be (?:found|located)|is gone|does not exist|existiert nicht|no existe|unavailable|expired)|(?:the )?requested (?:\w+ )?(?:resource|page|url|document|file)\b[^.!?]*(?:[.!?]+[^.!?]*)?|(?:\S+ +){0,4}?could not be (?:located|found|loaded|reached|displayed)\b[^.!?]*(?:[.!?]+[^.!?]*)?|access (?:is |was )?denied[^.!?]*(?:[.!?]+[^.!?]*)?|(?:zugriff|acceso|erişim)\W? (?:verweigert|denegado|engellendi|reddedildi)|permission denied|forbidden|unauthorized|(?:\S+ +){0,4}?something went wrong[^.!?]*(?:[.!?]+[^.!?]*)?|(?:an )?(?:unexpected |internal |unknown )?(?:server )?error(?: has)? occurred[^.!?]*(?:[.!?]+[^.!?]*)?|internal server error|bad (?:gateway|request)|gateway time-?out|(?:the )?(?:request|connection|upstream|session)\b(?:\W+\w+){0,3}?\W+(?:timed out|has expired|expired|was reset|refused)[^.!?]*(?:[.!?]+[^.!?]*)?|\w+ expired\W+please log in[^.!?]*(?:[.!?]+[^.!?]*)?|too many requests[^.!?]*(?:[.!?]+[^.!?]*)?|rate limit exceeded[^.!?]*(?:[.!?]+[^.!?]*)?|service (?:temporarily )?unavailable|(?:this|the) (?:\w+ )?(?:repository|account|page|site|project|channel|video|content|user|organisation|organization)\b(?:\W+\w+){0,3}?\W+(?:has been|was|is|are) (?:disabled|suspended|removed|deleted|blocked|down|unavailable|no longer available|not available)[^.!?]*(?:[.!?]+[^.!?]*)?|(?:we are )?(?:down for|under) maintenance[^.!?]*(?:[.!?]+[^.!?]*)?|sayfa bulunamadı|seite nicht gefunden|página no encontrada|page introuvable|not found|etwas ist schiefgelaufen[^.!?]*(?:[.!?]+[^.!?]*)?|bir (?:şeyler ters gitti|hata oluştu)[^.!?]*(?:[.!?]+[^.!?]*)?|algo salió mal[^.!?]*(?:[.!?]+[^.!?]*)?|are you (?:a )?(?:human|robot)[^.!?]*(?:[.!?]+[^.!?]*)?|verify (?:that )?you are (?:a )?human[^.!?]*(?:[.!?]+[^.!?]*)?|(?:php )?(?:fatal|parse) error\b.*|uncaught \w*(?:error|exception)\b.*|traceback \(most recent call last\)[^.!?]*(?:[.!?]+[^.!?]*)?|unhandled exception.*|thrown in \S+ on line \d+)\W*$"
 )
-JSON_ERROR = re.compile(r"(?is)^\s*\{.{0,300}?\"(?:error|errors|message|status|code|detail|fault)\"\s*:.{0,400}\}\s*$")
 JSON_WORDS = re.compile(r"(?i)\"(?:errors?|fault|exception)\"\s*:\s*+(?!null|\[\s*\]|\"\"|false)|\"(?:status|code|statusCode)\"\s*:\s*\"?[45]\d\d|\"(?:status|success|ok)\"\s*:\s*(?:\"(?:error|fail)|false)")
 TAG = re.compile(r"<(?:!--.*?--|/?[a-zA-Z!][^<>]*)>", re.S)
 HTML = re.compile(r"(?i)<(?:!doctype|html|head|body|title|center|noscript|script|div|h1|p|meta)\b")
 TRACE = re.compile(r"(?m)^\s*(?:#\d+ \S|at [\w$.]+\(|File \"|thrown in |Stack trace|Stack \w+:)")
 WORD = re.compile(r"[^\W\d_]+")
-# Function words, which a template keeps.
-FUNCTION_WORDS = frozenset("a an and are as at be by dear for from has have hello here hi how i if in into is it its last liegt bereit ihr may me my no not now of on or our out please re ready sehr geehrte sayın talebiniz alındı since so soon than that the their them then there they this to until up updated us was we welcome were what when where which who why will with works you your thank explains guide interest founded make every home".split())
-
-
-def template_of(line: str) -> str:
-    """The line with its slots: residue and words that carry content are slots, function words and marks stay."""
-    line = DOUBTFUL.sub(" \0 ", CERTAIN.sub(" \0 ", line))
-    line = WORD.sub(lambda m: m[0].lower() if m[0].lower() in FUNCTION_WORDS else "\0", line)
-    line = re.sub(r"\d+", "\0", line)
-    return re.sub(r"\0(?:[\s\0]*\0)*", "_", re.sub(r"\s+", " ", line)).strip()
+AGREEMENT = 0.6  # share of equal positions around a slot among records of one template
+PAGE_START = re.compile(r"(?i)\s*(?:<!doctype|<html|\{\s*\"(?:error|status|message)\")")
+CONTENT = 40  # words that an error page may hold beside its message: navigation, a search field, a footer
 
 
 LINE_END = re.compile(rb"\r\n|\n|\r|\xe2\x80\xa8")
@@ -73,69 +69,124 @@ def failed_request(whole: str) -> bool:
     """Whether a text is the JSON answer to a request that failed."""
     if whole[:1] != "{":
         return False
-    first = whole.partition("}")[0] + "}"
-    if len(whole) < 900 and JSON_ERROR.match(first) and JSON_WORDS.search(first):
-        return True
     try:
         answer = json.loads(whole)
-    except (ValueError, RecursionError):
-        return False
+    except (ValueError, RecursionError):  # cut off or not quite JSON: its first object
+        return bool(JSON_WORDS.search(whole.partition("}")[0]))
     top = json.dumps({k: v if isinstance(v, (str, int, float, bool, type(None))) else [0] if v else [] for k, v in answer.items()}, ensure_ascii=False)
     return bool(JSON_WORDS.search(top))
 
 
-def judge(data: bytes) -> tuple[str | None, list[tuple[str, str]]]:
-    """(kind if the text alone decides, [(template, value)] of doubtful slots); every line is read."""
-    if data.lstrip(b"\xef\xbb\xbf\xe2\x80\x8b \t\r\n")[:1] == b"{" and failed_request(data.decode("utf-8", "replace").strip("\ufeff\u200b \t\r\n")):
-        return "error page", []
-    doubtful: list[tuple[str, str]] = []
-    slides = fillers = kept = short = 0
-    error_at = fence = False
-    words = 0.0
-    start = 0
+# What a line must hold for one of the grammars to accept it; a test holds these against the grammars.
+MARKS = (b"{", b"%", b"[", b"<", b"|", b"__", b"@@", b"##", b"XX_", b"undefined", b"null", b"NaN", b"None", b"N/A", b"Doe")
+BLANK = re.compile(rb"[ \t][,!.]")
+ERROR_KEYS = frozenset("found gefunden bulunamadı bulunamadi encontrado encontrada located gone exist existiert existe unavailable expired requested could denied verweigert denegado engellendi reddedildi forbidden unauthorized wrong error bad gateway timed reset refused requests rate disabled suspended removed deleted blocked down longer available maintenance introuvable schiefgelaufen ters hata algo human uncaught traceback unhandled thrown robot time".encode().split())
+FILLER_KEYS = frozenset("here sample metin blindtext platzhaltertext texto contenido placeholder dummy example lorem soon construction written completed added determined asdf qwerty foo blah test xxx tbd t pending".encode().split())
+SLIDE_KEYS = frozenset(w.encode() for x in SLIDE for w in x.split()) | {b"bullet", b"section"}
+LOREM_KEYS = frozenset(w.encode() for w in LOREM)
+STATUS = re.compile(rb"(?:[\W_]|\d+[.)]\s)*(?:error|http|fehler|hata|status)?[ :]*[45]\d\d(?!\d)", re.I)
+TO_WORDS = bytes(c if chr(c).isalpha() and c < 128 or c > 127 else 32 for c in bytes(range(256)).lower())
+
+
+def lines_of(data: bytes) -> Iterator[bytes]:
+    """The lines of a text that are neither blank nor shown as code or quotation."""
+    fence, start = False, 0
     ends = [(m.start(), m.end()) for m in LINE_END.finditer(data)] + [(len(data), len(data))]
     for stop, following in ends:
         raw = data[start:stop]
         start = following
         lead = raw.lstrip()
-        if lead[:3] in (b"```", b"~~~") or lead[:1] == b">" and FENCE.match(raw.decode("utf-8", "replace")):
+        first = lead[:1]
+        if lead[:3] in (b"```", b"~~~") or first == b">" and FENCE.match(raw.decode("utf-8", "replace")):
             fence = not fence
+        elif not (fence or first in (b">", b"") or raw[:4] == b"    " or raw[:1] == b"\t"):
+            yield raw
+
+
+def visible(raw: bytes) -> str:
+    return INLINE.sub(" ", raw.decode("utf-8", "replace")).strip("\u200b\ufeff \t")
+
+
+def content_of(line: str) -> str:
+    bare = TAG.sub(" ", line).strip() if "<" in line else line
+    return re.sub(r"^(?:#{1,6}|[-*+]|\d+[.)])\s+", "", bare).strip(" *_")
+
+
+def marks_in(data: bytes) -> list[bytes]:
+    """What of MARKS a text holds, so that its lines are asked for nothing else; a blank before a sign is asked for by itself."""
+    return [x for x in MARKS if x in data] + ([BLANK] if BLANK.search(data) else [])
+
+
+def fillings(raw: bytes, marks: list) -> tuple[str, list[tuple[int, int, bool]]]:
+    """(line, places of what may fill a slot: start, end, whether by its syntax alone)."""
+    for x in marks:
+        if (BLANK.search(raw) if x is BLANK else x in raw and (x != b"##" or x in raw.lstrip(b"#"))):
+            break
+    else:
+        return "", []
+    line = visible(raw)
+    found = [(m.start(), m.end(), True) for m in CERTAIN.finditer(line)]
+    found += [(m.start(), m.end(), False) for m in DOUBTFUL.finditer(line) if not any(s <= m.start() < e for s, e, _ in found)]
+    return line, sorted(found)
+
+
+def plain_lines(data: bytes) -> Iterator[bytes]:
+    marks = marks_in(data)
+    return (raw for raw in lines_of(data) if not marks or not fillings(raw, marks)[1])
+
+
+def judge(data: bytes) -> tuple[str | None, list[tuple], list[bytes]]:
+    """(kind if the text alone decides, slots of its lines as `line_slots` gives them, its other lines); every line is read."""
+    if data.lstrip(b"\xef\xbb\xbf\xe2\x80\x8b \t\r\n")[:1] == b"{" and failed_request(data.decode("utf-8", "replace").strip("\ufeff\u200b \t\r\n")):
+        return "error page", [], []
+    slots: list[tuple] = []
+    other: list[bytes] = []
+    kind = None
+    slides = fillers = kept = 0
+    error_at = -1  # how many other lines stand before the first message
+    marks = marks_in(data)
+    for raw in lines_of(data):
+        kept += 1
+        line, found = fillings(raw, marks) if marks else ("", [])
+        if found:
+            slots += line_slots(line, found)
+            if any(certain for _, _, certain in found):
+                kind = kind or "placeholder"
+        if kind:
             continue
-        if fence or lead[:1] in (b">", b"") or raw[:4] == b"    " or raw[:1] == b"\t":
+        own = set(raw.translate(TO_WORDS).split())
+        script, few = b"cript" in raw or b"CRIPT" in raw or b"hecking your" in raw, len(own) <= 6
+        error = not own.isdisjoint(ERROR_KEYS) or bool(STATUS.match(raw)) or b"<" in raw
+        if not (few or script or error or not own.isdisjoint(FILLER_KEYS) or len(own & LOREM_KEYS) >= 2):
+            other.append(raw)
             continue
-        kept += 1
-        short += len(raw) < 60
-        line = INLINE.sub(" ", raw.decode("utf-8", "replace")).strip("\u200b\ufeff \t")
-        bare = TAG.sub(" ", line).strip() if "<" in line else line
-        bare = re.sub(r"^(?:#{1,6}|[-*+]|\d+[.)])\s+", "", bare).strip(" *_")
-        if CERTAIN.search(line):
-            return "placeholder", []
+        bare = content_of(line or visible(raw))
         if not bare:
             continue
-        if slide(bare):
+        if few and not own.isdisjoint(SLIDE_KEYS) and slide(bare):
             slides += 1
-            continue
-        if len(bare) < 160 and SCRIPTS.match(bare):
-            return "script notice", []
-        own = WORD.findall(bare.lower())
-        if len(own) >= 4 and sum(w in LOREM for w in own) >= 0.6 * len(own) or repeated(bare):
-            return "filler", []
-        if len(bare) < 160 and FILLER.match(bare):
+        elif script and SCRIPTS.match(bare):
+            kind = "script notice"
+        elif len(own & LOREM_KEYS) >= 2 and lorem(bare) or few and repeated(bare):
+            kind = "filler"
+        elif not own.isdisjoint(FILLER_KEYS) and FILLER.match(bare):
             fillers += 1
-            continue
-        doubtful += [(template_of(line), m[0].strip()) for m in DOUBTFUL.finditer(line)]
-        if len(bare) < 320 and ERROR.match(bare):
-            error_at = True
-            continue
-        if not error_at or "|" not in bare:
-            words += len(own)
-    if slides >= 2 and slides * 2 >= kept or fillers:
-        return "filler", doubtful
-    if error_at:
-        whole = data.decode("utf-8", "replace").strip()
-        if words <= 40 or words <= 160 and TRACE.search(whole) or len(whole) < 700 and re.match(r"(?i)<(?:!doctype|html)", whole):
-            return "error page", doubtful
-    return None, doubtful
+        elif error and ERROR.match(bare):
+            error_at = len(other) if error_at < 0 else error_at
+        else:
+            other.append(raw)
+    if not kind and (slides >= 2 and slides * 2 >= kept or fillers):
+        kind = "filler"
+    if not kind and error_at >= 0:
+        texts = (content_of(visible(x)) for x in other)
+        words = sum(len(WORD.findall(x)) for i, x in enumerate(texts) if not (i >= error_at and "|" in x) and not TRACE.match(x))
+        kind = "error page" if words <= CONTENT else None
+    return kind, slots, other
+
+
+def lorem(line: str) -> bool:
+    own = WORD.findall(line.lower())
+    return len(own) >= 4 and sum(w in LOREM for w in own) >= 0.6 * len(own)
 
 
 def slide(line: str) -> bool:
@@ -143,13 +194,18 @@ def slide(line: str) -> bool:
     return low in SLIDE or bool(re.fullmatch(r"(?:bullet point|section|title|text) \d+", low))
 
 
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+
+
 def repeated(line: str) -> bool:
     """A line that is one short sentence or one word over and over."""
-    said = [s.strip().lower().rstrip(".") for s in re.split(r"(?<=[.!?])\s+", line) if s.strip()]
-    if len(said) > 1 and len(set(said)) == 1 and 1 < len(said[0].split()) <= 6:
-        return True
     own = line.lower().split()
-    return len(own) >= 4 and len(set(own)) == 1 and len(own[0]) > 2 and own[0].isalpha()
+    if len(own) < 2 or len(own) == len(set(own)):
+        return False
+    if len(own) >= 4 and len(set(own)) == 1 and len(own[0]) > 2 and own[0].isalpha():
+        return True
+    said = [s.strip().lower().rstrip(".") for s in SENTENCE_END.split(line) if s.strip()]
+    return len(said) > 1 and len(set(said)) == 1 and 1 < len(said[0].split()) <= 6
 
 
 def is_code(language: str | None, path: str | None, text: str) -> bool:
@@ -157,46 +213,109 @@ def is_code(language: str | None, path: str | None, text: str) -> bool:
     if low in ("markdown", "text", "html"):
         return False
     if low in CODE_LANGUAGES or not low and (path or "").lower().endswith(CODE_ENDINGS):
-        return not re.match(r"(?i)\s*(?:<!doctype|<html|\{\s*\"(?:error|status|message)\")", text[:200])
+        return not PAGE_START.match(text)
     return False
 
 
+VERDICT = "kind string, key long, value long, state int, record long, tokens array<bigint>"
+VERDICT_ARROW = [("kind", pa.string()), ("key", pa.int64()), ("value", pa.int64()), ("state", pa.int32()), ("record", pa.int64()), ("tokens", pa.list_(pa.int64()))]
+
+
 def verdicts(documents: DataFrame) -> DataFrame:
-    """doc_id, kind, template, value: certain verdicts have a kind, doubtful slots a template and a value."""
+    """doc_id and either a kind that the text alone decides, or a slot of one of its lines, or (state PAGE) its template as a page."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
+            docs, out = [], []
             for doc, language, path, text in zip(*(c.to_pylist() for c in b.columns)):
-                if is_code(language, path, text[:200]):
+                if is_code(language, path, text):
                     continue
-                kind, doubtful = judge(text.encode("utf-8", "replace"))
+                kind, slots, other = judge(text.encode("utf-8", "replace"))
+                rows = [(None, *slot) for slot in slots]
                 if kind:
-                    out.append((doc, kind, None, None))
-                else:
-                    out += [(doc, None, t, v) for t, v in doubtful]
-            cols = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), *(pa.array(x, pa.string()) for x in cols[1:])], names=["doc_id", "kind", "template", "value"])
+                    rows.append((kind, None, None, None, None, None))
+                elif page := page_of(other):
+                    rows.append((None, *page))
+                docs += [doc] * len(rows)
+                out += rows
+            cols = list(zip(*out)) if out else [[]] * len(VERDICT_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, b.column(0).type), *(pa.array(c, t) for c, (_, t) in zip(cols, VERDICT_ARROW))], names=["doc_id", *(n for n, _ in VERDICT_ARROW)])
+
+    return spread(texts(documents)).mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, {VERDICT}")
+
+
+def texts(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", "language", "file_path", "text").where(F.length("text") > 0)
 
-    kind = dict(documents.dtypes)["doc_id"]
-    rows = documents.select("doc_id", "language", "file_path", "text").where(F.length("text") > 0)
-    return spread(rows).mapInArrow(run, f"doc_id {kind}, kind string, template string, value string")
 
+def filled_records(documents: DataFrame, asked: bytes) -> DataFrame:
+    """key, value, state, record, tokens of the lines without residue whose shape is among the asked ones.
 
-def residue(documents: DataFrame, least_records: int = 2) -> DataFrame:
+    `asked` is a bitmap of fixed size over hashes of shapes: a hit may be false, a miss never is.
+    """
+    bits = np.frombuffer(asked, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines: dict[bytes, None] = {}
+            for _, language, path, text in zip(*(c.to_pylist() for c in b.columns)):
+                if not is_code(language, path, text):
+                    lines.update(dict.fromkeys(plain_lines(text.encode("utf-8", "replace"))))
+            rows = aligned_records(list(lines), bits)
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, VERDICT_ARROW[1:])], names=[n for n, _ in VERDICT_ARROW[1:]])
+
+    return spread(texts(documents)).mapInArrow(run, VERDICT.partition(", ")[2])
+
+
+def induced(records: DataFrame) -> DataFrame:
+    """key, value, variables, fills: the slots that alignment shows, once for each value that may be residue in them.
+
+    Records of a key are lines of equal shape; copies count once. A slot is where they differ while they agree in at
+    least AGREEMENT of the other positions. `variables` and `fills` count the distinct other values of each kind.
+    """
+    records = records.dropDuplicates(["key", "record"])
+    size = records.groupBy("key").agg(F.count("*").alias("n"))
+    cells = records.select("key", F.posexplode("tokens").alias("at", "token")).groupBy("key", "at", "token").agg(F.count("*").alias("n"))
+    same = cells.groupBy("key", "at").agg(F.max("n").alias("same")).groupBy("key").agg(F.sum("same").alias("same"), F.count("*").alias("width"))
+    agree = size.where("n > 1").join(same, "key").where(F.col("same") >= AGREEMENT * F.col("n") * F.col("width")).select("key")
+    values = records.groupBy("key", "value").agg(F.min("state").alias("state")).join(agree, "key", "left_semi")
+    kinds = values.groupBy("key").agg(F.count(F.when(F.col("state") <= VARIABLE, 1)).alias("variables"), F.count(F.when(F.col("state") == FILLED, 1)).alias("fills"))
+    own = values.where(F.col("state").isin(VARIABLE, DEFAULT)).join(kinds, "key")
+    others = F.col("variables") - F.when(F.col("state") == VARIABLE, 1).otherwise(0)
+    return own.where((others >= 1) | (F.col("fills") >= 2)).select("key", "value")
+
+
+def residue(documents: DataFrame, least_pages: int = 3) -> DataFrame:
     """(doc_id, kind): each document that carries residue in place of content, once.
 
-    A doubtful slot counts if its template occurs in at least `least_records` documents or with two values. Null,
-    empty and blank texts have no case. Copies are judged alike. An empty table gives an empty result; other columns
+    A variable, default or blank that prose may hold by itself counts if the alignment of all documents shows a slot
+    there: at least one other record with a variable, or two with different fillings. A page counts as an error page if
+    at least `least_pages` different texts are the same but for numbers and ids. Copies of a line or text are one record
+    and are judged alike. Null, empty and blank texts have no case. An empty table gives an empty result; other columns
     are ignored.
     """
     ensure_checkpoint_dir(documents.sparkSession)
-    seen = verdicts(documents).checkpoint()  # a few rows; the texts are read once
+    seen = verdicts(documents).checkpoint()  # a few rows
     certain = seen.where("kind is not null").select("doc_id", "kind")
-    slots = seen.where("kind is null")
-    aligned = slots.groupBy("template").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("value").alias("v"), F.max("value").alias("w"))
-    aligned = aligned.where((F.col("lo") < F.col("hi")) | (F.col("v") < F.col("w")) if least_records > 1 else F.lit(True)).select("template")
-    doubtful = slots.join(aligned, "template", "left_semi").select("doc_id", F.lit("placeholder").alias("kind"))
-    return certain.unionByName(doubtful).dropDuplicates(["doc_id"])
+    slots = seen.where("kind is null and tokens is not null")
+    open_ = slots.where(F.col("state").isin(VARIABLE, DEFAULT)).join(certain.select("doc_id"), "doc_id", "left_anti")
+    # shapes that are asked for, as a bitmap of BITS bits: at most BITS / 64 rows, however many documents there are
+    at = F.pmod("key", F.lit(BITS))
+    words = open_.select(F.floor(at / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(key, {BITS}), 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(BITS // 64, np.int64)
+    bits[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    records = slots.select("key", "value", "state", "record", "tokens")
+    if len(words):
+        records = records.unionByName(filled_records(documents, bits.tobytes()))
+    asked = open_.select("key").distinct()
+    shown = induced(records.join(asked, "key", "left_semi"))
+    doubtful = open_.join(shown, ["key", "value"], "left_semi").select("doc_id", F.lit("placeholder").alias("kind"))
+
+    pages = seen.where(F.col("state") == PAGE)
+    repeated_pages = pages.groupBy("key", "record").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    errors = pages.join(repeated_pages, "key", "left_semi").select("doc_id", F.lit("error page").alias("kind"))
+    return certain.unionByName(doubtful).unionByName(errors).dropDuplicates(["doc_id"])
 
 
 def without_residue(documents: DataFrame) -> DataFrame:
