@@ -15,6 +15,9 @@ from lodestrata.functions.paths import base_name, extension
 CHUNK_COLUMNS = ["chunk_id", "project_id", "file_path", "language", "module", "symbol", "symbol_type", "start_line", "end_line", "token_count", "content", "content_hash"]
 
 
+Limit = int | Column  # one limit for all files or a column of theirs
+
+
 def finish(df: DataFrame, id_symbol: Column | None = None) -> DataFrame:
     """Add hash, token estimate and id to rows with content, symbol and lines."""
     df = df.withColumn("content_hash", content_hash("content")).withColumn("token_count", index_tokens("content"))
@@ -28,14 +31,14 @@ def strategy(path: Column | str = "file_path") -> Column:
     return F.when(e == ".go", "go").when(e.isin(".ts", ".tsx", ".js", ".jsx", ".vue"), "typescript").when(e == ".php", "php").when(e.isin(".md", ".markdown"), "markdown").otherwise("fixed")
 
 
-def whole_files(files: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def whole_files(files: DataFrame, max_tokens: Limit = MAX_TOKENS) -> DataFrame:
     """Files within the limit: one chunk of type `file`, named after the file."""
     rows = files.where(F.col("text").isNotNull() & (index_tokens("text") <= max_tokens))
     last = F.size(F.split("text", "\n"))
     return finish(rows.withColumns({"symbol": base_name("file_path"), "symbol_type": F.lit("file"), "start_line": F.lit(1), "end_line": last, "content": F.col("text")}))
 
 
-def line_starts(lines: Column, max_tokens: int) -> Column:
+def line_starts(lines: Column, max_tokens: Limit) -> Column:
     """Lines at which greedy packing begins a fragment. The state is the starts so far and the tokens since the last."""
     numbered = F.transform(lines, lambda x, i: F.struct((i + 1).cast("int").alias("n"), index_tokens(x).alias("t")))
     first = F.struct(F.array(F.lit(1)).alias("starts"), F.lit(0).alias("t"))
@@ -47,7 +50,7 @@ def line_starts(lines: Column, max_tokens: int) -> Column:
     return F.aggregate(numbered, first, step)["starts"]
 
 
-def fragments(files: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def fragments(files: DataFrame, max_tokens: Limit = MAX_TOKENS) -> DataFrame:
     """Files above the limit, packed line by line; a line of its own size above the limit stays one fragment."""
     rows = files.where(index_tokens("text") > max_tokens).withColumn("lines", F.split("text", "\n"))
     rows = rows.withColumn("starts", line_starts(F.col("lines"), max_tokens))
@@ -59,7 +62,7 @@ def fragments(files: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     return finish(rows.withColumns({"symbol": F.when(F.col("start_line") > 1, later).otherwise(base), "symbol_type": F.lit("fragment")}))
 
 
-def fixed(files: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def fixed(files: DataFrame, max_tokens: Limit = MAX_TOKENS) -> DataFrame:
     return whole_files(files, max_tokens).unionByName(fragments(files, max_tokens))
 
 
@@ -95,7 +98,7 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     return _as_markdown(rows.select("project_id", "file_path", "module", _name(F.col("content")).alias("symbol"), start.alias("start_line"), (start + F.get("counts", F.col("nth")) - 1).alias("end_line"), "content"))
 
 
-def markdown_merged(files: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def markdown_merged(files: DataFrame, min_tokens: Limit = MIN_TOKENS) -> DataFrame:
     """Sections below the minimum join the chunk before, or the next one if there is none yet.
 
     A merged chunk is a run of sections joined by blank lines. The fold over byte counts finds the runs, each with the

@@ -11,11 +11,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import MAX_TOKENS, MIN_TOKENS
-from lodestrata.operators.chunks import CHUNK_COLUMNS, finish
+from lodestrata.operators.chunks import CHUNK_COLUMNS, Limit, finish
 from lodestrata.session import spread
 
 _S = r"[\t\n\f\r ]"
@@ -313,19 +313,20 @@ def chunk_text(kind: str, path: str, module: str, language: str, text: str, merg
     return rows or [(whole, whole, "file", 1, text.count("\n") + 1, text, language, module)]
 
 
-def code_chunks(files: DataFrame, kind: str, merge: bool = False, min_tokens: int = MIN_TOKENS, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def code_chunks(files: DataFrame, kind: str, merge: bool = False, min_tokens: Limit = MIN_TOKENS, max_tokens: Limit = MAX_TOKENS) -> DataFrame:
     """Chunks of files of one kind (`typescript`, `php` or `go`), with ids and hashes made by columns afterwards."""
     names = ["project_id", "file_path", "symbol", "id_symbol", "symbol_type", "start_line", "end_line", "content", "language", "module"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for project, path, language, module, text in zip(*(c.to_pylist() for c in b.columns)):
+            for project, path, language, module, text, least, most in zip(*(c.to_pylist() for c in b.columns)):
                 if text is not None:
-                    out += [(project, path, *row) for row in chunk_text(kind, path, module or "", language, text, merge, min_tokens, max_tokens)]
+                    out += [(project, path, *row) for row in chunk_text(kind, path, module or "", language, text, merge, least, most)]
             columns = list(zip(*out)) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n.endswith("_line") else pa.string()) for n, c in zip(names, columns)], names=names)
 
     ddl = ", ".join(f"{n} {'int' if n.endswith('_line') else 'string'}" for n in names)
-    rows = spread(files.select("project_id", "file_path", "language", "module", "text")).mapInArrow(run, ddl)
+    limits = [(x if isinstance(x, Column) else F.lit(x)).cast("int").alias(n) for x, n in ((min_tokens, "least"), (max_tokens, "most"))]
+    rows = spread(files.select("project_id", "file_path", "language", "module", "text", *limits)).mapInArrow(run, ddl)
     return finish(rows, F.col("id_symbol")).select(*CHUNK_COLUMNS)

@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.functions.ids import MAX_TOKENS, MIN_TOKENS, point_id
+from lodestrata.functions.ids import MAX_TOKENS, MIN_TOKENS, override, point_id
 from lodestrata.operators import chunks as c
 from lodestrata.operators import manifest as m
 from lodestrata.operators import reports
 from lodestrata.operators.code_chunks import code_chunks
 from lodestrata.operators.embed import Provider, embed
-from lodestrata.operators.store import Store, delete_ids, upsert
+from lodestrata.operators.store import Store, Versions
 from lodestrata.session import ensure_checkpoint_dir
 
+MANIFEST = "file_path string, file_hash string, mod_time timestamp, indexed_at timestamp, chunk_ids array<string>, chunk_hashes map<string,string>, project_id string"
 
-def chunk_files(files: DataFrame, merge: bool = False, min_tokens: int = MIN_TOKENS, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Each file by the chunker of its extension; the branches that Catalyst can express never leave the JVM."""
+
+def chunk_files(files: DataFrame, merge: bool = False, min_tokens: c.Limit = MIN_TOKENS, max_tokens: c.Limit = MAX_TOKENS, limits: DataFrame | None = None) -> DataFrame:
+    """Each file by the chunker of its extension; the branches that Catalyst can express never leave the JVM.
+
+    `limits` (project_id, min_tokens, max_tokens) sets limits of projects in place of the common ones; null and zero
+    mean "not set".
+    """
     by = files.withColumn("strategy", c.strategy())
+    if limits is not None:
+        own = limits.groupBy("project_id").agg(F.max("min_tokens").alias("min_tokens"), F.max("max_tokens").alias("max_tokens"))
+        own = own.select(F.col("project_id").alias("__project"), *(override(n, d).alias(f"__{n}") for n, d in (("min_tokens", min_tokens), ("max_tokens", max_tokens))))
+        by = by.join(own, F.col("project_id") == F.col("__project"), "left").drop("__project")
+        min_tokens, max_tokens = (F.coalesce(F.col(f"__{n}"), F.lit(d)) for n, d in (("min_tokens", min_tokens), ("max_tokens", max_tokens)))
     out = c.fixed(by.where("strategy = 'fixed'"), max_tokens)
     marked = by.where("strategy = 'markdown'")
     out = out.unionByName(c.markdown_merged(marked, min_tokens) if merge else c.markdown_sections(marked))
@@ -48,34 +60,76 @@ class Run:
         return reports.run_counters(scanned, self.changed, self.skipped, self.deleted, self.new_chunks, self.stale, self.oversized)
 
 
-def plan(files: DataFrame, manifest: DataFrame, merge: bool = False, keep: bool = False) -> Run:
-    """With `keep`, chunks are written to the checkpoint folder once, since a job reads them several times.
-
-    The difference of a scan against the manifest; only changed files are chunked, only new chunks come out to embed."""
+def plan(files: DataFrame, manifest: DataFrame, merge: bool = False, limits: DataFrame | None = None) -> Run:
+    """The difference of a scan against the manifest; only changed files are chunked, only new chunks come out to embed."""
     changed = m.changed_files(files, manifest)
-    chunks = chunk_files(changed, merge)
-    chunks = chunks.checkpoint() if keep else chunks
+    chunks = chunk_files(changed, merge, limits=limits)
     return Run(changed, m.skipped_files(files, manifest), m.deleted_files(files, manifest), chunks, m.changed_chunks(chunks, manifest), m.stale_chunks(chunks, manifest), reports.oversized_chunks(chunks))
 
 
-def index(files: DataFrame, manifest: DataFrame, store: Store, provider: Provider, merge: bool = False, full: bool = False) -> DataFrame:
-    """Bring the store up to the scan and return the new manifest.
+class Manifest:
+    """The manifest of a collection, in versions beside it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.versions = Versions(spark, path, "file_path")
 
-    Stale and purged chunks are deleted first, then new ones are put in; the store commits before the manifest does.
-    With `full`, everything of the scanned projects is dropped and indexed anew.
+    def read(self) -> DataFrame:
+        if self.versions.pointer() is None:
+            return self.versions.spark.createDataFrame([], MANIFEST)
+        return self.versions.read().drop("bucket")
+
+
+def index(files: DataFrame, manifest: Manifest, store: Store, provider: Provider, merge: bool = False, full: bool = False, limits: DataFrame | None = None) -> DataFrame:
+    """Bring the store and then the manifest up to the scan of some projects; return their counters.
+
+    Deletes and new points are one change of the store, and each new chunk is embedded once. The manifest is committed
+    after the store, so that a failed write is tried again. With `full`, everything of the scanned projects is dropped
+    and indexed anew. Contents of unchanged files are read to be hashed, but neither exchanged nor kept.
     """
     ensure_checkpoint_dir(files.sparkSession)
-    files = files.checkpoint()  # the tree is walked and read once
-    existing = store.read() if store.exists() else None
-    if full:
-        scanned = files.select("project_id").distinct()
-        manifest = manifest.join(scanned, "project_id", "left_anti")
-        existing = existing.join(scanned, "project_id", "left_anti") if existing is not None else None
-    run = plan(files, manifest, merge, keep=True)
-    new = as_points(embed(run.new_chunks, provider))
-    if existing is not None:
-        gone = run.stale.select("chunk_id").unionByName(m.purged_chunks(files, manifest).select("chunk_id"))
-        new = upsert(delete_ids(existing, gone.select(point_id("chunk_id").alias("point_id"))), new.select(*existing.columns))
-    store.commit(new)
-    kept = m.latest(manifest).join(m.deleted_files(files, manifest), ["project_id", "file_path"], "left_anti")
-    return m.upsert(run.chunks.withColumn("position", F.col("start_line")), run.changed, kept)
+    listing = files.select(*m.KEY, "file_hash").checkpoint()
+    scanned = [r.project_id for r in listing.select("project_id").distinct().collect()]  # as many as there are projects
+    known = manifest.read().where(F.col("project_id").isin(scanned))
+    before = known.limit(0) if full else known
+    changed = m.changed_files(listing, before)
+    chunks = chunk_files(m._join(files, changed, "left_semi", "file_hash"), merge, limits=limits).checkpoint()
+    new_chunks = m.changed_chunks(chunks, before)
+    stale, deleted = m.stale_chunks(chunks, before), m.deleted_files(listing, known)
+    gone = stale.unionByName(m.purged_chunks(listing, before)).select("project_id", point_id("chunk_id").alias("point_id"))
+    fresh = new_chunks.dropDuplicates(["chunk_id"])
+    keys = fresh.select("project_id", point_id("chunk_id").alias("point_id"))
+    made = as_points(embed(fresh, provider))
+    store.change(gone, made, keys, drop=scanned if full else None)
+
+    entries = m.upsert(chunks.withColumn("position", F.col("start_line")), changed)
+    touched = changed.select(*m.KEY).unionByName(deleted)
+    manifest.versions.change(touched, entries, drop=scanned if full else None)
+    skipped = m.skipped_files(listing, before)
+    return reports.run_counters(listing, changed, skipped, deleted, new_chunks, stale.unionByName(m.purged_chunks(listing, before)), reports.oversized_chunks(chunks))
+
+
+@dataclass
+class Result:
+    """What became of one project: its counters, or the errors that stopped it. Errors don't stop other projects."""
+
+    project_id: str
+    counters: dict[str, int] = field(default_factory=dict)
+    errors: list[str] = field(default_factory=list)
+    seconds: float = 0.0
+
+
+def index_all(projects: list[str], scan, manifest: Manifest, store: Store, provider: Provider, **options) -> list[Result]:
+    """Index projects one after the other; `scan(project_id)` gives the files of one."""
+    out = []
+    for project in projects:
+        started = time.monotonic()
+        result = Result(project)
+        try:
+            counters = index(scan(project), manifest, store, provider, **options)
+            row = counters.where(F.col("project_id") == project).first()
+            result.counters = {k: v for k, v in row.asDict().items() if k != "project_id"} if row else {}
+        except Exception as e:  # noqa: BLE001 - whatever stops a project is its result
+            result.errors.append(f"{type(e).__name__}: {e}".split("\n")[0])
+        result.seconds = time.monotonic() - started
+        out.append(result)
+    return out
