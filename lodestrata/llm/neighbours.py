@@ -7,9 +7,10 @@ The top of the tree is fitted on the driver over a bounded sample, and only for
 vectors; it cuts them into cells. A smaller project is one cell. Every row is indexed: one exchange brings the
 vectors of a cell together (queries that look into several cells are sent to each), and the task of a cell grows the
 rest of the tree over its own vectors. Traversal is shared by the queries of one leaf, so scoring is a matrix product.
-How many leaves to visit is found in each cell: a sample of its queries is answered by brute force, and visits are
-widened until the recall of that sample reaches the target. How many cells to visit is found in the same way over the
-driver's sample.
+How many leaves to visit is found in each cell by the walk that is run: a sample of its queries is answered by brute
+force, and visits are widened until what their blocks look at holds the target share of the true neighbours. Which cells
+a query is sent to is found over the driver's sample: those whose centre is at most a margin less similar than that of
+its home, with the smallest margin that keeps the target share; so only queries near a boundary leave their cell.
 
 Vectors that occur more than once are searched once. Copies of one vector are each other's most similar points; ties
 are ordered by point_id. A group of copies is never expanded into its pairs: a point looks at most at k of its copies.
@@ -135,34 +136,29 @@ def search_cell(points: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int
     near = queries.astype(np.float32)
     want = min(k + 1, n)
 
+    node_scores = near @ tree.centres.T.astype(np.float32)
+    blocks = query_blocks(tree, node_scores)
     rng = np.random.default_rng(seed)
-    probe = rng.choice(len(queries), min(CALIBRATION, len(queries)), replace=False)
+    probe = np.sort(rng.choice(len(queries), min(CALIBRATION, len(queries)), replace=False))
     visits = len(tree.leaves)
     if visits > 8:
         truth = top(near[probe] @ small.T, want)
-        place = np.empty(n, np.int32)
-        for i, leaf in enumerate(tree.leaves):
-            place[tree.rows[leaf]] = i
-        index = {leaf: i for i, leaf in enumerate(tree.leaves)}
-        needed = np.empty(truth.shape, np.int32)  # how many leaves must be visited to meet each true neighbour
-        for r, scores in enumerate(queries[probe] @ tree.centres.T):
-            order = np.empty(len(tree.leaves), np.int32)
-            for at, leaf in enumerate(tree.best_first(scores)):
-                order[index[leaf]] = at
-            needed[r] = order[place[truth[r]]] + 1
+        place = np.empty(n, np.int64)
+        for leaf in tree.leaves:
+            place[tree.rows[leaf]] = leaf
+        asked = np.isin(np.arange(len(queries)), probe)
+        sample = [(block, place[truth[np.searchsorted(probe, block[asked[block]])]]) for block in blocks if asked[block].any()]
         visits = 4
-        while visits < len(tree.leaves) and (needed <= visits).mean() < recall:
+        while visits < len(tree.leaves) and np.concatenate([np.isin(at, visited(tree, node_scores, block, visits)).ravel() for block, at in sample]).mean() < recall:
             visits = -(-visits * 5 // 4)
         visits = min(visits, len(tree.leaves))
 
     rows = np.full((len(queries), k), -1, np.int64)
     found = np.full((len(queries), k), -np.inf)
-    node_scores = None
     if visits >= len(tree.leaves):
         groups = [(np.arange(lo, min(lo + 256, len(queries))), np.arange(n)) for lo in range(0, len(queries), 256)]
     else:
-        node_scores = near @ tree.centres.T.astype(np.float32)
-        groups = list(shared_visits(tree, node_scores, visits))
+        groups = ((block, np.concatenate([tree.rows[x] for x in visited(tree, node_scores, block, visits)])) for block in blocks)
     for block, candidates in groups:
         for lo in range(0, len(block), 256):
             q = block[lo : lo + 256]
@@ -178,43 +174,51 @@ def search_cell(points: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int
     return rows, found, visits
 
 
-def shared_visits(tree: Tree, node_scores: np.ndarray, visits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(queries, candidate rows): queries whose first leaf is the same share one product over all leaves that any of them visits early."""
+def query_blocks(tree: Tree, node_scores: np.ndarray) -> list[np.ndarray]:
+    """Queries by the leaf that is most similar to them; those of a block are answered by one product."""
     leaf_ids = np.array(tree.leaves)
     first = leaf_ids[node_scores[:, leaf_ids].argmax(axis=1)]
     order = np.argsort(first, kind="stable")
-    bounds = np.flatnonzero(np.diff(first[order])) + 1
-    for block in np.split(order, bounds):
-        mean = node_scores[block].mean(axis=0)
-        leaves = tree.first_leaves(mean, visits)
-        # leaves that a query of the block would have visited among its own first ones
-        own = {x for q in block[:: max(1, len(block) // 4)][:4] for x in tree.first_leaves(node_scores[q], max(2, visits // 4))}
-        yield block, np.concatenate([tree.rows[x] for x in dict.fromkeys([*leaves, *own])])
+    return np.split(order, np.flatnonzero(np.diff(first[order])) + 1)
+
+
+def visited(tree: Tree, node_scores: np.ndarray, block: np.ndarray, visits: int) -> list[int]:
+    """The leaves a block visits: the first ones best first from its mean, and the very first ones of some of its queries."""
+    leaves = tree.first_leaves(node_scores[block].mean(axis=0), visits)
+    own = {x for q in block[:: max(1, len(block) // 4)][:4] for x in tree.first_leaves(node_scores[q], max(2, visits // 4))}
+    return list(dict.fromkeys([*leaves, *own]))
 
 
 class Cells:
-    """The top of the tree for the projects that are cut: centres of cells and how many of them a query visits."""
+    """The top of the tree for the projects that are cut: centres of cells, and by what margin a query looks beyond its own."""
 
     def __init__(self, samples: dict[str, np.ndarray], sizes: dict[str, int], cell: int, k: int, recall: float):
         self.centres: dict[str, np.ndarray] = {}
-        self.visits: dict[str, int] = {}
+        self.margin: dict[str, float] = {}
         for project, x in samples.items():
             cells = max(2, -(-sizes[project] // cell))
             tree = Tree(x, max(1, len(x) // cells), branch=2)
             at = np.array([tree.centres[i] for i in tree.leaves])
             self.centres[project] = at
-            home = (x @ at.T).argmax(axis=1)
-            rng = np.random.default_rng(3)
-            probe = rng.choice(len(x), min(512, len(x)), replace=False)
-            scores = x[probe] @ x.T
-            scores[np.arange(len(probe)), probe] = -2
-            truth = top(scores, min(k, len(x) - 1))
-            order = np.argsort(np.argsort(-(x[probe] @ at.T), axis=1), axis=1)
-            needed = np.take_along_axis(order, home[truth], 1) + 1
-            visits = 1
-            while visits < len(at) and (needed <= visits).mean() < recall:
-                visits += 1
-            self.visits[project] = visits
+            near = x @ at.T
+            home = near.argmax(axis=1)
+            probe = np.random.default_rng(3).choice(len(x), min(512, len(x)), replace=False)
+            needed = []
+            for q in np.array_split(probe, max(1, len(probe) // 16)):  # products of 16 rows: 32 MB for the largest sample
+                scores = x[q] @ x.T
+                scores[np.arange(len(q)), q] = -2
+                truth = top(scores, min(k, len(x) - 1))
+                needed.append((near[q].max(axis=1)[:, None] - np.take_along_axis(near[q], home[truth], 1)).ravel())
+            # neighbours in the sample lie farther than in the whole, so this margin is on the safe side
+            self.margin[project] = float(np.quantile(np.concatenate(needed), recall))
+
+    def place(self, project: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(home cell of each row, rows and cells of the further visits)."""
+        near = x @ self.centres[project].T
+        home = near.argmax(axis=1)
+        within = near >= near.max(axis=1, keepdims=True) - self.margin[project]
+        within[np.arange(len(x)), home] = False
+        return home, *np.nonzero(within)
 
 
 def knn(points: DataFrame, k: int = 10, min_score: float | None = None, recall: float = RECALL, cell: int = CELL, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -236,7 +240,7 @@ def knn(points: DataFrame, k: int = 10, min_score: float | None = None, recall:
         rate = {p: min(1.0, SAMPLE_PER_CELL * share * -(-n // cell) / n) for p, n in large.items()}
         chosen = F.coalesce(*[F.when(F.col("project_id") == p, F.lit(r)) for p, r in rate.items()])
         picked = rows.where(F.col("project_id").isin(list(large))).where(F.pmod("h1", F.lit(1 << 30)) / F.lit(float(1 << 30)) < chosen).select("project_id", "vector")
-        table = picked.toArrow()
+        table = picked.toArrow()  # at most SAMPLE_PER_CELL * MAX_CELLS vectors
         by = np.array(table.column(0).to_pylist())
         x = unit(table.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)) if len(table) else np.zeros((0, dimensions))
         samples = {p: np.unique(x[by == p], axis=0) for p in large if (by == p).sum() > 1}
@@ -251,12 +255,10 @@ def knn(points: DataFrame, k: int = 10, min_score: float | None = None, recall:
                 x = unit(b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions))
                 for p in set(projects) & set(cells.centres):
                     at = np.flatnonzero(projects == p)
-                    order = np.argsort(-(x[at] @ cells.centres[p].T), axis=1)
-                    cell_of[0][at] = order[:, 0]
-                    for v in range(1, cells.visits[p]):
-                        cell_of.append(order[:, v].astype(np.int32))
-                        home.append(np.zeros(len(at), bool))
-                        take.append(at)
+                    cell_of[0][at], rows_, further = cells.place(p, x[at])
+                    cell_of.append(further.astype(np.int32))
+                    home.append(np.zeros(len(further), bool))
+                    take.append(at[rows_])
             index = pa.array(np.concatenate(take))
             yield pa.RecordBatch.from_arrays([b.column(0).take(index), pa.array(np.concatenate(cell_of)), pa.array(np.concatenate(home)), b.column(1).take(index), b.column(2).take(index), b.column(3).take(index)], names=["project_id", "cell", "home", "a", "multi", "vector"])
 
