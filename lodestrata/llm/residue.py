@@ -271,10 +271,9 @@ def filled_records(documents: DataFrame, asked: bytes) -> DataFrame:
 def induced(records: DataFrame) -> DataFrame:
     """key, value, variables, fills: the slots that alignment shows, once for each value that may be residue in them.
 
-    Records of a key are lines of equal shape; copies count once. A slot is where they differ while they agree in at
+    Records of a key are lines of equal shape, each once. A slot is where they differ while they agree in at
     least AGREEMENT of the other positions. `variables` and `fills` count the distinct other values of each kind.
     """
-    records = records.dropDuplicates(["key", "record"])
     size = records.groupBy("key").agg(F.count("*").alias("n"))
     cells = records.select("key", F.posexplode("tokens").alias("at", "token")).groupBy("key", "at", "token").agg(F.count("*").alias("n"))
     same = cells.groupBy("key", "at").agg(F.max("n").alias("same")).groupBy("key").agg(F.sum("same").alias("same"), F.count("*").alias("width"))
@@ -309,7 +308,7 @@ def residue(documents: DataFrame, least_pages: int = 3) -> DataFrame:
     if len(words):
         records = records.unionByName(filled_records(documents, bits.tobytes()))
     asked = open_.select("key").distinct()
-    shown = induced(records.join(asked, "key", "left_semi"))
+    shown = induced(records.join(asked, "key", "left_semi").dropDuplicates(["key", "record"]).checkpoint())  # read by several aggregations
     doubtful = open_.join(shown, ["key", "value"], "left_semi").select("doc_id", F.lit("placeholder").alias("kind"))
 
     pages = seen.where(F.col("state") == PAGE)
