@@ -57,7 +57,7 @@ TAG = re.compile(r"<(?:!--.*?--|/?[a-zA-Z!][^<>]*)>", re.S)
 HTML = re.compile(r"(?i)<(?:!doctype|html|head|body|title|center|noscript|script|div|h1|p|meta)\b")
 TRACE = re.compile(r"(?m)^\s*(?:#\d+ \S|at [\w$.]+\(|File \"|thrown in |Stack trace|Stack \w+:)")
 WORD = re.compile(r"[^\W\d_]+")
-AGREEMENT = 0.6  # share of equal positions around a slot among records of one template
+AGREEMENT = 0.6  # share of the tokens around a slot that most records of a template have
 PAGE_START = re.compile(r"(?i)\s*(?:<!doctype|<html|\{\s*\"(?:error|status|message)\")")
 CONTENT = 40  # words that an error page may hold beside its message: navigation, a search field, a footer
 
@@ -269,19 +269,21 @@ def filled_records(documents: DataFrame, asked: bytes) -> DataFrame:
 
 
 def induced(records: DataFrame) -> DataFrame:
-    """key, value, variables, fills: the slots that alignment shows, once for each value that may be residue in them.
+    """key, value of the slots that alignment shows, once for each value that may be residue in them.
 
-    Records of a key are lines of equal shape, each once. A slot is where they differ while they agree in at
-    least AGREEMENT of the other positions. `variables` and `fills` count the distinct other values of each kind.
+    Records of a key are lines of equal shape around the slot, each once. They are of one template if AGREEMENT of their
+    other tokens are ones that most of them have; the rest are further slots. A variable in the slot is residue if another
+    record has another variable, a default or a blank there, a default or blank if another has a variable; either if
+    others have two different fillings.
     """
     size = records.groupBy("key").agg(F.count("*").alias("n"))
-    cells = records.select("key", F.posexplode("tokens").alias("at", "token")).groupBy("key", "at", "token").agg(F.count("*").alias("n"))
-    same = cells.groupBy("key", "at").agg(F.max("n").alias("same")).groupBy("key").agg(F.sum("same").alias("same"), F.count("*").alias("width"))
-    agree = size.where("n > 1").join(same, "key").where(F.col("same") >= AGREEMENT * F.col("n") * F.col("width")).select("key")
+    tokens = records.select("key", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("key", "token").agg(F.count("*").alias("held"))
+    agree = tokens.join(size.where("n > 1"), "key").groupBy("key").agg(F.sum(F.when(F.col("held") * 2 > F.col("n"), F.col("held")).otherwise(0)).alias("same"), F.sum("held").alias("all"))
+    agree = agree.where(F.col("same") >= AGREEMENT * F.col("all")).select("key")
     values = records.groupBy("key", "value").agg(F.min("state").alias("state")).join(agree, "key", "left_semi")
-    kinds = values.groupBy("key").agg(F.count(F.when(F.col("state") <= VARIABLE, 1)).alias("variables"), F.count(F.when(F.col("state") == FILLED, 1)).alias("fills"))
+    kinds = values.groupBy("key").agg(F.count(F.when(F.col("state") <= VARIABLE, 1)).alias("variables"), F.count(F.when(F.col("state") == DEFAULT, 1)).alias("defaults"), F.count(F.when(F.col("state") == FILLED, 1)).alias("fills"))
     own = values.where(F.col("state").isin(VARIABLE, DEFAULT)).join(kinds, "key")
-    others = F.col("variables") - F.when(F.col("state") == VARIABLE, 1).otherwise(0)
+    others = F.col("variables") + F.when(F.col("state") == VARIABLE, F.col("defaults") - 1).otherwise(0)
     return own.where((others >= 1) | (F.col("fills") >= 2)).select("key", "value")
 
 
@@ -289,7 +291,7 @@ def residue(documents: DataFrame, least_pages: int = 3) -> DataFrame:
     """(doc_id, kind): each document that carries residue in place of content, once.
 
     A variable, default or blank that prose may hold by itself counts if the alignment of all documents shows a slot
-    there: at least one other record with a variable, or two with different fillings. A page counts as an error page if
+    there (see `induced`). A page counts as an error page if
     at least `least_pages` different texts are the same but for numbers and ids. Copies of a line or text are one record
     and are judged alike. Null, empty and blank texts have no case. An empty table gives an empty result; other columns
     are ignored.

@@ -15,7 +15,7 @@ SIGNS = tuple(b",.!:;()")  # signs that count as tokens; others are blanks
 TO_TOKENS = bytes(c if chr(c).isalnum() and c < 128 or c > 127 or c in SIGNS else 32 for c in bytes(range(256)).lower())
 BOUND, SLOT = 1, 2  # numbers of the place beyond a line's ends and of a slot
 MIX = [np.int64(x) for x in (-7046029254386353131, -4417276706812531889, 1609587929392839161, -8663945395140668459, 2870177450012600261)]
-DEFAULTS = re.compile(r"(?:undefined|null|NaN|None|N/A|John Doe|Jane Doe)$|\w+\s+$|\w*$")
+DEFAULTS = re.compile(r"(?:undefined|null|NaN|None|N/A|John Doe|Jane Doe|)$")
 
 
 def tokens(line: bytes) -> list[bytes]:
@@ -31,15 +31,15 @@ def number(text: str | bytes) -> int:
 
 
 def shapes(t: np.ndarray, first: np.ndarray, after: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two keys of the slots before `after` and from `first` on: (two tokens before, one behind) and (one before, two behind).
+    """Two keys of the slots from `first` to before `after`: (all tokens before counted, the last two of them, one behind)
+    and (one before, the first two behind, all behind counted), so that the other side may be of any length.
 
     `t` has two BOUND tokens around each line; `left` and `right` are the numbers of tokens on either side.
     """
     with np.errstate(over="ignore"):
-        size = left * MIX[3] + right * MIX[4]
-        near = t[first - 1] * MIX[0] + t[after] * MIX[1] + size
-        a = near + t[first - 2] * MIX[2]
-        b = near - t[after + 1] * MIX[2] + 1
+        near = t[first - 1] * MIX[0] + t[after] * MIX[1]
+        a = near + t[first - 2] * MIX[2] + left * MIX[3]
+        b = near - t[after + 1] * MIX[2] + right * MIX[4] + 1
         return tuple((k ^ (k >> np.int64(29))) * MIX[1] ^ (k >> np.int64(47)) for k in (a, b))
 
 
@@ -51,7 +51,7 @@ def line_slots(line: str, found: list[tuple[int, int, bool]]) -> list[tuple]:
             continue
         t += [number(x) for x in tokens(line[at:start].encode("utf-8", "replace"))]
         value = line[start:end]
-        if not certain and (blank := re.match(r"(\w+(?: \w+)?)[ \t]+$", value)) and not DEFAULTS.match(value.strip()):
+        if not certain and (blank := re.match(r"(\w+(?: \w+)?)[ \t]+$", value)):
             t += [number(x) for x in tokens(blank[1].encode("utf-8", "replace"))]  # a greeting without its name
             value = ""
         slots.append((len(t), value, CERTAIN if certain else DEFAULT if DEFAULTS.match(value) else VARIABLE))
