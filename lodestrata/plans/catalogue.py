@@ -305,9 +305,7 @@ def list_projects(spark, d):
 # -- service
 def _with_payload(spark, d):
     points = table(spark, d, "points")
-    found = search.batch_top_k(points, table(spark, d, "search_query"))
-    payload = search.one_per_point(points.select("point_id", *search.PAYLOAD, "indexed_at"))
-    return service.project_results(found.join(payload, "point_id"))
+    return service.project_results(search.with_payload(search.batch_top_k(points, table(spark, d, "search_query")), points))
 
 
 def retrieve_projection(spark, d):

@@ -162,7 +162,6 @@ SQL: dict[str, str] = {
     "progress_stats": f"with {F_}, d as (select strlen(text) / 1000 as seconds from f) select count(*) as processed, round(avg(seconds), 6) as avg_seconds, round(round(avg(seconds), 6) * 100, 6) as eta_seconds, round(count(*) * 100.0::double / (count(*) + 100), 4) as percent from d",
     "list_projects": "select project_id, count(distinct point_id) as chunk_count from points where project_id is not null group by project_id",
     "retrieve_projection": f"with {BATCH}, {PAYLOAD}, {PROJECTED} select * from pr",
-    "render_results_markdown": f"""with {BATCH}, {PAYLOAD}, {PROJECTED} select query_id, rank, '### ' || source || case when start_line is not null then ':' || start_line || '-' || coalesce(end_line, start_line) else '' end || chr(10)
-      || case when symbol is not null then '**' || symbol || '**' || case when symbol_type is not null then ' (' || symbol_type || ')' else '' end || chr(10) else '' end
-      || 'Score: ' || round(score * 100, 1)::decimal(10, 1)::varchar || '%' || chr(10) || '```' || coalesce(language, '') || chr(10) || coalesce(content, '') || chr(10) || '```' as markdown from pr""",
+    "render_results_markdown": f"""with {BATCH}, {PAYLOAD}, {PROJECTED}, t as (select query_id, rank, score, {', '.join(f"coalesce({c}::varchar, 'undefined') as {c}" for c in ('source', 'start_line', 'end_line', 'symbol', 'symbol_type', 'language', 'content'))} from pr)
+      select query_id, rank, format('### {{}}:{{}}-{{}}', source, start_line, end_line) || chr(10) || format('**{{}}** ({{}}) | Score: {{}}%', symbol, symbol_type, round(score * 100, 1)::decimal(10, 1)) || chr(10) || '```' || language || chr(10) || content || chr(10) || '```' || chr(10) || chr(10) as markdown from t""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import secrets
+import threading
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -65,18 +66,34 @@ def clamp(k: int) -> int:
     return 5 if k <= 0 else min(k, 20)
 
 
-def retrieve(points: DataFrame, request: Request, provider: Provider) -> DataFrame:
-    """Results of one request, best first; an unknown project gives none."""
+def retrieve(points: DataFrame, request: Request, provider: Provider, run: bool = False, seconds: float = 30.0, unique: bool = False) -> DataFrame:
+    """Results of one request, best first; an unknown project gives none.
+
+    With `run` the search is executed here, within `seconds`, and what stops it is a SearchFailed; otherwise it is lazy.
+    `unique` says that points have ids of their own, as those of a store.
+    """
     if not request.project_id or not request.query:
         raise MissingField("project_id and query are required")
     try:
         vector = provider.embed_batch([request.query])[0]
     except Exception as e:
         raise EmbeddingFailed(f"Failed to embed query: {e}") from e
+    found = project_results(top_k(points, vector, clamp(request.top_k), Filter(request.project_id, **request.filters), request.score_threshold, unique))
+    if not run:
+        return found
+    spark = points.sparkSession
+    tag = f"retrieve-{secrets.token_hex(8)}"
+    timer = threading.Timer(seconds, spark.interruptTag, [tag])
+    spark.addTag(tag)
+    timer.start()
     try:
-        return project_results(top_k(points, vector, clamp(request.top_k), Filter(request.project_id, **request.filters), request.score_threshold))
+        rows = found.collect()  # at most 20
+        return spark.createDataFrame(rows, found.schema)
     except Exception as e:
-        raise SearchFailed(f"Search failed: {e}") from e
+        raise SearchFailed(f"Search failed: {e}".split("\n")[0]) from e
+    finally:
+        timer.cancel()
+        spark.removeTag(tag)
 
 
 def project_results(found: DataFrame) -> DataFrame:
@@ -94,16 +111,26 @@ def response(results: DataFrame, milliseconds: int) -> str:
 
 
 def markdown_row() -> F.Column:
-    """A result as Markdown: heading with place, bold symbol, score in percent, fenced content."""
-    place = F.concat(F.col("source"), F.when(F.col("start_line").isNotNull(), F.concat(F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.coalesce("end_line", "start_line").cast("string"))).otherwise(F.lit("")))
-    name = F.when(F.col("symbol").isNotNull(), F.concat(F.lit("**"), F.col("symbol"), F.lit("**"), F.when(F.col("symbol_type").isNotNull(), F.concat(F.lit(" ("), F.col("symbol_type"), F.lit(")"))).otherwise(F.lit("")), F.lit("\n"))).otherwise(F.lit(""))
+    """A result as Markdown: heading with place, bold symbol with type and score in percent, fenced content. Missing values are shown as clients print them."""
+    word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("undefined"))
     percent = F.concat(F.round(F.col("score").cast("double") * 100, 1).cast("decimal(10,1)").cast("string"), F.lit("%"))
-    return F.concat(F.lit("### "), place, F.lit("\n"), name, F.lit("Score: "), percent, F.lit("\n```"), F.coalesce("language", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")), F.lit("\n```"))
+    return F.concat(
+        F.lit("### "), word("source"), F.lit(":"), word("start_line"), F.lit("-"), word("end_line"),
+        F.lit("\n**"), word("symbol"), F.lit("** ("), word("symbol_type"), F.lit(") | Score: "), percent,
+        F.lit("\n```"), word("language"), F.lit("\n"), word("content"), F.lit("\n```\n\n"),
+    )
+
+
+def render_markdown(results: DataFrame, query: str, milliseconds: int = 0, project_id: str | None = None) -> str:
+    """The text a tool call answers with; `results` has at most 20 rows. Its head ends in a backslash and an n, as clients expect it."""
+    rows = [r[0] for r in results.orderBy(F.desc("score"), "point_id").select(markdown_row()).collect()]
+    if not rows:
+        return f'No results found for query: "{query}"' + (f" in project {project_id}" if project_id else "")
+    return f'## Search Results for: "{query}"\\nFound: {len(rows)} results ({milliseconds}ms)\\n\\n' + "".join(rows)
 
 
-def render_markdown(results: DataFrame, query: str) -> str:
-    rows = [r[0] for r in results.orderBy(F.desc("score"), "point_id").select(markdown_row()).collect()]  # at most 20
-    return "\n\n".join(rows) if rows else f"No results found for: {query}"
+def render_error(error: ServiceError) -> str:
+    return f"Error: {error} (code: {error.code})"
 
 
 def health(points: DataFrame, provider: Provider) -> tuple[int, dict]:

@@ -101,9 +101,15 @@ def test_retrieve(spark):
     (r,) = found.collect()
     assert (r.source, r.module) == ("a/x.txt", "a") and abs(r.score - 1) < 1e-6
     assert json.loads(service.response(found, 4))["results"][0]["source"] == "a/x.txt"
-    assert service.render_markdown(found, "q").startswith("### a/x.txt:1-1\n**x.txt** (file)\nScore: 100.0%\n```text\nred apples")
+    assert service.render_markdown(found, "q", 7) == '## Search Results for: "q"\\nFound: 1 results (7ms)\\n\\n### a/x.txt:1-1\n**x.txt** (file) | Score: 100.0%\n```text\nred apples\n```\n\n'
+    run = service.retrieve(points, service.Request("p", "red apples", 1), Hashing(), run=True)
+    assert [x.source for x in run.collect()] == ["a/x.txt"]
+    broken = points.withColumn("vector", F.when(F.col("project_id") == "p", F.raise_error(F.lit("gone")).cast("array<float>")).otherwise(F.col("vector")))
+    with pytest.raises(service.SearchFailed) as failed:
+        service.retrieve(broken, service.Request("p", "red apples"), Hashing(), run=True)
+    assert service.render_error(failed.value).endswith("(code: SEARCH_FAILED)")
     assert service.retrieve(points, service.Request("none", "x"), Hashing()).count() == 0
-    assert service.render_markdown(found.where(F.lit(False)), "zz") == "No results found for: zz"
+    assert service.render_markdown(found.where(F.lit(False)), "zz", 1, "p") == 'No results found for query: "zz" in project p'
     with pytest.raises(service.MissingField):
         service.retrieve(points, service.Request("", "x"), Hashing())
     with pytest.raises(service.InvalidRequest) as e:
