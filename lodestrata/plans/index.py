@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,12 +80,12 @@ class Manifest:
         return self.versions.read().drop("bucket")
 
 
-def index(files: DataFrame, manifest: Manifest, store: Store, provider: Provider, merge: bool = False, full: bool = False, limits: DataFrame | None = None) -> DataFrame:
+def index(files: DataFrame, manifest: Manifest, store: Store, provider: Provider, merge: bool = False, full: bool = False, limits: DataFrame | None = None, report: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Bring the store and then the manifest up to the scan of some projects; return their counters.
 
     Deletes and new points are one change of the store, and each new chunk is embedded once. The manifest is committed
     after the store, so that a failed write is tried again. With `full`, everything of the scanned projects is dropped
-    and indexed anew. Contents of unchanged files are read to be hashed, but neither exchanged nor kept.
+    and indexed anew. `report` gets the oversized chunks. Contents of unchanged files are read to be hashed, but neither exchanged nor kept.
     """
     ensure_checkpoint_dir(files.sparkSession)
     listing = files.select(*m.KEY, "file_hash").checkpoint()
@@ -105,6 +106,8 @@ def index(files: DataFrame, manifest: Manifest, store: Store, provider: Provider
     touched = changed.select(*m.KEY).unionByName(deleted)
     manifest.versions.change(touched, entries, drop=scanned if full else None)
     skipped = m.skipped_files(listing, before)
+    if report is not None:
+        report(reports.oversized_chunks(chunks))
     return reports.run_counters(listing, changed, skipped, deleted, new_chunks, stale.unionByName(m.purged_chunks(listing, before)), reports.oversized_chunks(chunks))
 
 

@@ -44,7 +44,12 @@ class Config:
     dimensions: int = 768
     batch_size: int = 32
     embed_timeout: float = 30.0
-    store: str = "qdrant"
+    embed_endpoint: str = ""
+    api_key: str = ""
+    store_path: str = ""
+    source_base_path: str = ""
+    cache_dir: str = "cache"
+    store: str = "parquet"
     collection: str = "code_chunks"
     projects_dir: str = "configs/projects"
     chunking: Chunking = field(default_factory=Chunking)
@@ -121,6 +126,11 @@ def load_config(path: str | Path) -> Config:
         dimensions=at("embedding", "dimensions") or d.dimensions,
         batch_size=at("embedding", "batch_size") or d.batch_size,
         embed_timeout=seconds(at("embedding", "timeout"), d.embed_timeout),
+        embed_endpoint=os.environ.get("EMBEDDING_ENDPOINT") or at("embedding", "endpoint") or d.embed_endpoint,
+        api_key=os.environ.get("OPENAI_API_KEY") or at("embedding", "api_key") or d.api_key,
+        store_path=at("vectordb", "path") or at("vectordb", "endpoint") or d.store_path,
+        source_base_path=os.environ.get("SOURCE_BASE_PATH") or at("projects", "source_base_path") or d.source_base_path,
+        cache_dir=at("indexing", "cache_dir") or d.cache_dir,
         store=at("vectordb", "provider") or d.store,
         collection=at("vectordb", "collection") or d.collection,
         projects_dir=at("projects", "config_dir") or d.projects_dir,

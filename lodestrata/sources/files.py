@@ -1,8 +1,8 @@
 """File trees as a DataFrame, and files as rows with hash, language and module.
 
 Spark's own file index hides names that begin with a dot or an underscore, which belong to a project, so trees are
-walked by a Python data source: one partition for each top-level entry, folders that a project excludes are never
-entered, and contents are read where they are needed.
+listed by a Python data source that never enters folders a project excludes; files are read by tasks, in splits of
+about equal size, and handed over as Arrow batches. The root is a folder that all executors share.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -57,39 +58,63 @@ def is_excluded(path: str, patterns: tuple[str, ...]) -> bool:
 
 
 class Part(InputPartition):
-    def __init__(self, entry: str):
-        self.entry = entry
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+SPLIT = 64 << 20  # bytes of files that one task reads, unless one file is larger
+BATCH = 8 << 20  # bytes of contents handed over at once
 
 
 class TreeReader(DataSourceReader):
+    """Lists a tree, without entering excluded folders, and reads its files in splits of about equal size."""
+
     def __init__(self, options: dict[str, str]):
         self.root = options["path"]
         self.extensions = tuple(x.lower() for x in options.get("extensions", "").split("\n") if x)
         self.patterns = tuple(x for x in options.get("excludes", "").split("\n") if x)
 
-    def partitions(self) -> list[InputPartition]:
-        if is_excluded(".", self.patterns):
-            return [Part("")]
-        return [Part(e) for e in sorted(os.listdir(self.root))] or [Part("")]
-
-    def read(self, partition: Part) -> Iterator[tuple]:
-        if not partition.entry:
-            return
-        todo = [partition.entry]
+    def listed(self) -> Iterator[tuple[str, int]]:
+        todo = [] if is_excluded(".", self.patterns) else [""]
         while todo:
-            rel = todo.pop()
-            if is_excluded(rel, self.patterns):
-                continue
+            folder = todo.pop()
+            with os.scandir(os.path.join(self.root, folder)) as entries:
+                for e in sorted(entries, key=lambda e: e.name):
+                    rel = f"{folder}/{e.name}" if folder else e.name
+                    if is_excluded(rel, self.patterns):
+                        continue
+                    if e.is_dir():
+                        if not e.is_symlink():
+                            todo.append(rel)
+                    elif "." in e.name and "." + e.name.rpartition(".")[2].lower() in self.extensions:
+                        yield rel, e.stat().st_size
+
+    def partitions(self) -> list[InputPartition]:
+        parts, own, size = [], [], 0
+        for rel, n in self.listed():
+            if own and size + n > SPLIT:
+                parts.append(Part(own))
+                own, size = [], 0
+            own.append(rel)
+            size += n
+        return [*parts, Part(own)] if own or not parts else parts
+
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for rel in partition.paths:
             full = os.path.join(self.root, rel)
-            if os.path.isdir(full):
-                if not os.path.islink(full):
-                    todo += [f"{rel}/{e}" for e in sorted(os.listdir(full), reverse=True)]
-                continue
-            base = rel.rpartition("/")[2]
-            ending = "." + base.rpartition(".")[2].lower() if "." in base else ""
-            if ending in self.extensions:
-                with open(full, "rb") as f:
-                    yield full, rel, f.read()
+            with open(full, "rb") as f:
+                rows.append((full, rel, f.read()))
+            size += len(rows[-1][2])
+            if size >= BATCH:
+                yield to_batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield to_batch(rows)
+
+
+def to_batch(rows: list[tuple[str, str, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.binary()))], names=["abs_path", "rel_path", "content"])
 
 
 class FileTree(DataSource):
