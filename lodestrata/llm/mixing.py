@@ -43,6 +43,30 @@ def allocate(available: dict[str, int], targets: list[tuple[str, float, int]], t
     return {s: (wanted[s], got[s]) for s in weights}
 
 
+def certain_first(sized: DataFrame, drawn: dict[str, tuple[float, float]], largest: dict[str, int], size_power: float) -> dict[str, float]:
+    """The factor of each source's inclusion odds, factor * tokens ** size_power, from (tokens to draw, first factor).
+
+    A document whose odds would be above one is certain; the odds of the others are then scaled to what is left. Each
+    turn is one aggregation over the sources that still change, of which most need none.
+    """
+    out = {s: f for s, (_, f) in drawn.items()}
+    least = {s: float("inf") for s in out}  # size from which documents are certain
+    while size_power > 0:
+        now = {s: f ** (-1 / size_power) for s, f in out.items() if f > 0 and f * largest.get(s, 0) ** size_power > 1}
+        changed = {s: x for s, x in now.items() if x < least[s] * (1 - 1e-12)}
+        if not changed:
+            break
+        least |= changed
+        bounds = sized.sparkSession.createDataFrame([(s, float(x)) for s, x in changed.items()], "source string, least double")
+        rows = sized.where("tokens > 0").join(F.broadcast(bounds), "source")  # at most a row for each source of the targets
+        sure = F.col("tokens") >= F.col("least")
+        for r in rows.groupBy("source").agg(F.coalesce(F.sum(F.when(sure, F.col("tokens"))), F.lit(0)).alias("sure"), F.coalesce(F.sum(F.when(~sure, F.pow("tokens", F.lit(size_power)) * F.col("tokens"))), F.lit(0.0)).alias("moment")).collect():
+            rest = max(0.0, drawn[r.source][0] - r.sure)
+            # certain documents keep odds of one: the factor never falls
+            out[r.source] = max(out[r.source], rest / r.moment if r.moment else out[r.source])
+    return out
+
+
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 42, size_power: float = 0.5, redistribute: bool = False, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(selection, report).
 
@@ -54,7 +78,8 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 42, size_power: fl
     included, though these are never drawn. Null and empty texts have no tokens and are never drawn. A weight of
     zero or null and a source without documents give no rows in the selection and zeros in the report; a null
     max_repeats counts as 1; of a source listed twice the weights are summed and the larger cap holds. The chance of
-    a document grows with its size to the power `size_power`. The same seed gives the same mix. If an allotment is
+    a document grows with its size to the power `size_power`. Documents whose odds would be
+    above one are certain and the rest is scaled. The same seed gives the same mix. If an allotment is
     above what max_repeats allows, the source is capped and the mix is that much smaller, so that the
     others keep their share of the target total; with `redistribute` the others take the rest by their weights.
     """
@@ -64,7 +89,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 42, size_power: fl
     sized = sized.checkpoint()
     wanted = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"), F.max(F.coalesce("max_repeats", F.lit(1))).cast("int").alias("max_repeats"))
     listed = [(r.source, r.weight, r.max_repeats) for r in wanted.collect()]
-    per_source = sized.groupBy("source").agg(F.sum("tokens").alias("available"), F.sum(F.pow("tokens", F.lit(size_power)) * F.col("tokens")).alias("moment"), F.sum(F.when(F.col("tokens") > 0, 1).otherwise(0)).alias("n"))
+    per_source = sized.groupBy("source").agg(F.sum("tokens").alias("available"), F.sum(F.pow("tokens", F.lit(size_power)) * F.col("tokens")).alias("moment"), F.max("tokens").alias("largest"))
     names = [s for s, _, _ in listed]
     sums = {r.source: r for r in per_source.where(F.col("source").isin(names)).collect()} if names else {}
     total = sized.agg(F.sum("tokens")).first()[0] or 0
@@ -79,6 +104,8 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 42, size_power: fl
         # Σ p·tokens = rest with p proportional to tokens ** size_power
         factor = rest / sums[s].moment if has and sums[s].moment else 0.0
         plan.append((s, w, r, has, float(want), float(goal), min(whole, r), float(rest) if whole < r else 0.0, float(factor), total))
+    factors = certain_first(sized, {x[0]: (x[7], x[8]) for x in plan}, {s: sums[s].largest or 0 for s in sums}, size_power)
+    plan = [(*x[:8], factors[x[0]], total) for x in plan]
     ddl = "source string, weight double, max_repeats int, available_tokens bigint, target_tokens double, goal double, whole int, rest double, factor double, total bigint"
     per = spark.createDataFrame(plan, ddl)
 

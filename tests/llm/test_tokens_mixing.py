@@ -83,3 +83,15 @@ def test_larger_documents_are_drawn_more_often(spark):
     chosen = mixing.mix(docs, targets, size_power=0.5)[0].collect()
     long = sum(r.tokens > 4 for r in chosen)
     assert 2.5 < long / max(1, len(chosen) - long) < 6.5  # the inclusion odds differ by the root of the sizes
+
+
+def test_odds_above_one_are_certain_and_the_rest_is_scaled(spark):
+    from lodestrata.llm.mixing import certain_first
+
+    sizes = [1000] + [10] * 400 + [40] * 50
+    df = spark.createDataFrame([(i, "s", n) for i, n in enumerate(sizes)], "doc_id bigint, source string, tokens bigint")
+    rest, power = 3500.0, 0.9
+    first = rest / sum(n ** (1 + power) for n in sizes)
+    factor = certain_first(df, {"s": (rest, first), "t": (0.0, 0.0)}, {"s": 1000}, power)["s"]
+    odds = [min(1.0, factor * n**power) for n in sizes]
+    assert first * 1000**power > 1 and abs(sum(p * n for p, n in zip(odds, sizes)) - rest) < 1e-6
