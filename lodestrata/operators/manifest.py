@@ -21,6 +21,16 @@ def latest(manifest: DataFrame) -> DataFrame:
     return newest.select(*KEY, "r.*")
 
 
+def latest_hashes(manifest: DataFrame) -> DataFrame:
+    """Key and file_hash of the newest state of each file; chunk columns, which may be large, are not read.
+
+    Equal times are decided by the larger hash before anything else, so this agrees with `latest`.
+    """
+    order = F.struct(F.coalesce("indexed_at", F.lit("1970-01-01").cast("timestamp")).alias("t"), F.coalesce("file_hash", F.lit("")).alias("h"), F.col("file_hash").isNotNull().alias("n"))
+    newest = manifest.groupBy(*KEY).agg(F.max(order).alias("r"))
+    return newest.select(*KEY, F.when(F.col("r.n"), F.col("r.h")).alias("file_hash"))
+
+
 def _join(left: DataFrame, right: DataFrame, how: str, *more: str) -> DataFrame:
     """A semi or anti join on the file key and more columns, nulls equal; the right side is renamed, since both sides may come from one table."""
     on = [*KEY, *more]
@@ -33,20 +43,19 @@ def _join(left: DataFrame, right: DataFrame, how: str, *more: str) -> DataFrame:
 
 def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files that are new or have another hash than the manifest."""
-    old = latest(manifest).select(*KEY, "file_hash")
+    old = latest_hashes(manifest)
     return _join(files, old, "left_anti", "file_hash")
 
 
 def skipped_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files whose hash is that of the manifest."""
-    old = latest(manifest).select(*KEY, "file_hash")
+    old = latest_hashes(manifest)
     return _join(files, old, "left_semi", "file_hash")
 
 
 def deleted_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files of the manifest that the scan no longer has."""
-    old = latest(manifest)
-    return _join(old, files, "left_anti").select(*KEY)
+    return _join(manifest.select(*KEY).distinct(), files, "left_anti").select(*KEY)
 
 
 def chunk_entries(manifest: DataFrame) -> DataFrame:
@@ -97,6 +106,31 @@ def upsert(chunks: DataFrame, files: DataFrame, manifest: DataFrame | None = Non
     return _join(old, new, "left_anti").unionByName(new)
 
 
+def file_states(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """project_id and how many files were scanned, indexed (new or changed), skipped and deleted, by one join on the file key."""
+    old = latest_hashes(manifest).select(*(F.col(c).alias(f"__{c}") for c in (*KEY, "file_hash")), F.lit(True).alias("__known"))
+    same = F.lit(True)
+    for c in KEY:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    both = files.select(*KEY, "file_hash", F.lit(True).alias("__seen")).join(old, same, "full")
+    seen, equal = F.col("__seen").isNotNull(), F.col("__known").isNotNull() & F.col("file_hash").eqNullSafe(F.col("__file_hash"))
+    return both.groupBy(F.when(seen, F.col("project_id")).otherwise(F.col("__project_id")).alias("project_id")).agg(
+        F.count(F.when(seen, 1)).alias("files_scanned"), F.count(F.when(seen & ~equal, 1)).alias("files_indexed"), F.count(F.when(seen & equal, 1)).alias("files_skipped"), F.count(F.when(~seen, 1)).alias("files_deleted")
+    )
+
+
+def chunk_states(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
+    """project_id and how many chunks are new or changed and how many stale, by one join on the chunk key and one on the file key."""
+    entries = _join(chunk_entries(manifest), chunks.select(*KEY).distinct(), "left_semi")
+    old = entries.distinct().select(*(F.col(c).alias(f"__{c}") for c in (*KEY, "chunk_id", "chunk_hash")), F.lit(True).alias("__known"))
+    same = F.lit(True)
+    for c in (*KEY, "chunk_id"):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    both = chunks.select(*KEY, "chunk_id", "content_hash", F.lit(True).alias("__seen")).join(old, same, "full")
+    seen, equal = F.col("__seen").isNotNull(), F.col("__known").isNotNull() & F.col("content_hash").eqNullSafe(F.col("__chunk_hash"))
+    return both.groupBy(F.when(seen, F.col("project_id")).otherwise(F.col("__project_id")).alias("project_id")).agg(F.count(F.when(seen & ~equal, 1)).alias("chunks_created"), F.count(F.when(~seen, 1)).alias("chunks_deleted"))
+
+
 def stats(manifest: DataFrame) -> DataFrame:
     """file_count, chunk_count over the latest states."""
     size = F.when(F.col("chunk_ids").isNull(), 0).otherwise(F.size("chunk_ids"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,13 @@ def run_counters(scanned: DataFrame, indexed: DataFrame, skipped: DataFrame, del
     return parts.groupBy("project_id").agg(*(F.coalesce(F.sum(F.when(F.col("what") == name, F.col("n"))), F.lit(0)).cast("bigint").alias(name) for name in names))
 
 
+def summary(parts: list[DataFrame]) -> DataFrame:
+    """One row for each project of frames with project_id and counters of their own; what a project lacks is zero."""
+    names = ("files_scanned", "files_indexed", "files_skipped", "files_deleted", "chunks_created", "chunks_deleted", "oversized")
+    rows = [p.select("project_id", *((F.col(n) if n in p.columns else F.lit(0)).cast("bigint").alias(n) for n in names)) for p in parts]
+    return reduce(DataFrame.unionByName, rows).groupBy("project_id").agg(*(F.sum(n).cast("bigint").alias(n) for n in names))
+
+
 def totals(counters: DataFrame) -> DataFrame:
     """Counters by project and, with a null project and `is_total` 1, over all."""
     sums = [F.sum(c).cast("bigint").alias(c) for c in counters.columns if c != "project_id"]

@@ -353,8 +353,11 @@ def oversized_report(spark, d):
 
 
 def index_project_summary(spark, d):
-    f, k, mm = whole_files(spark, d), current_chunks(spark, d), manifest(spark, d)
-    return reports.run_counters(f, m.changed_files(f, mm), m.skipped_files(f, mm), m.deleted_files(_scanned(spark, d), mm), m.changed_chunks(k, mm), m.stale_chunks(k, mm), oversized_chunks(spark, d).where("project_id is not null"))
+    over = oversized_chunks(spark, d).where("project_id is not null").groupBy("project_id").agg(F.count("*").alias("oversized"))
+    # what is deleted is judged by all files that points know, what is indexed or skipped by whole files
+    gone = m.deleted_files(_scanned(spark, d), manifest(spark, d)).groupBy("project_id").agg(F.count("*").alias("files_deleted"))
+    seen = m.file_states(whole_files(spark, d), manifest(spark, d)).drop("files_deleted").where("files_scanned > 0")
+    return reports.summary([seen, gone, m.chunk_states(current_chunks(spark, d), manifest(spark, d)), over]).where(" + ".join(("files_scanned", "files_deleted", "chunks_created", "chunks_deleted", "oversized")) + " > 0")
 
 
 def index_all_summary(spark, d):
