@@ -25,12 +25,18 @@ def tokens_of(n_bytes: int) -> int:
     return n_bytes * 2 // 5
 
 
+# Elements without an end tag.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+TAG = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<end>/)?(?P<name>[A-Za-z][\w:.-]*)(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?(?P<alone>/)?>", re.S)
+
+
 class Packer:
     """Cuts one text; positions are characters, sizes are bytes of UTF-8."""
 
     def __init__(self, text: str, cap: int, markdown: bool):
         self.text, self.cap, self.markdown = text, cap, markdown
         self.ascii = text.isascii()
+        self.marked = text.lstrip("\ufeff \t\r\n")[:1] == "<" and not text.lstrip("\ufeff \t\r\n").startswith("<?php")
 
     def size(self, s: int, e: int) -> int:
         return e - s if self.ascii else len(self.text[s:e].encode("utf-8", "surrogatepass"))
@@ -82,6 +88,28 @@ class Packer:
         top = min(d for _, d in inner)
         return self.cut(s, e, (p for p, d in inner if d == top))
 
+    def elements(self, s: int, e: int) -> list[Span]:
+        """Elements of markup at the least depth at which one begins within the span; an element has what is in it."""
+        if not self.marked:
+            return [(s, e)]
+        open_: list[str] = []
+        starts: list[tuple[int, int]] = []
+        for m in TAG.finditer(self.text, s, e):
+            name = (m["name"] or "").lower()
+            if not name:  # a comment, a declaration or the text of a script
+                continue
+            if m["end"]:
+                if name in open_:
+                    while open_.pop() != name:
+                        pass
+                continue
+            starts.append((m.start(), len(open_)))
+            if not m["alone"] and name not in VOID:
+                open_.append(name)
+        inner = [x for x in starts if x[0] > s]
+        least = min((d for _, d in inner), default=0)
+        return self.cut(s, e, (p for p, d in inner if d == least))
+
     def blocks(self, s: int, e: int) -> list[Span]:
         """Runs separated by blank lines, at the least indentation that such runs have; fences stay whole."""
         starts, at, blank, fence = [], s, False, None
@@ -134,7 +162,7 @@ class Packer:
             s += step
         return out
 
-    LEVELS = (sections, sections, sections, blocks, blocks, indented, indented, indented, lines, sentences, words)
+    LEVELS = (sections, sections, sections, elements, elements, elements, elements, blocks, blocks, indented, indented, indented, lines, sentences, words)
 
 
 def split(text: str, limit: int, overlap: int, markdown: bool) -> list[tuple[int, int, int]]:
