@@ -81,7 +81,7 @@ def failed_request(whole: str) -> bool:
 MARKS = (b"{", b"%", b"[", b"<", b"|", b"__", b"@@", b"##", b"XX_", b"undefined", b"null", b"NaN", b"None", b"N/A", b"Doe")
 BLANK = re.compile(rb"[ \t][,!.]")
 ERROR_KEYS = frozenset("found gefunden bulunamadı bulunamadi encontrado encontrada located gone exist existiert existe unavailable expired requested could denied verweigert denegado engellendi reddedildi forbidden unauthorized wrong error bad gateway timed reset refused requests rate disabled suspended removed deleted blocked down longer available maintenance introuvable schiefgelaufen ters hata algo human uncaught traceback unhandled thrown robot time".encode().split())
-FILLER_KEYS = frozenset("here sample metin blindtext platzhaltertext texto contenido placeholder dummy example lorem soon construction written completed added determined asdf qwerty foo blah test xxx tbd t pending".encode().split())
+FILLER_KEYS = frozenset("here text steht sample metin blindtext platzhaltertext texto contenido placeholder dummy example lorem soon construction written completed added determined asdf qwerty foo blah test xxx tbd t pending".encode().split())
 SLIDE_KEYS = frozenset(w.encode() for x in SLIDE for w in x.split()) | {b"bullet", b"section"}
 LOREM_KEYS = frozenset(w.encode() for w in LOREM)
 STATUS = re.compile(rb"(?:[\W_]|\d+[.)]\s)*(?:error|http|fehler|hata|status)?[ :]*[45]\d\d(?!\d)", re.I)
@@ -155,7 +155,8 @@ def judge(data: bytes) -> tuple[str | None, list[tuple], list[bytes]]:
         if kind:
             continue
         own = set(raw.translate(TO_WORDS).split())
-        script, few = b"cript" in raw or b"CRIPT" in raw or b"hecking your" in raw, len(own) <= 6
+        low = raw.lower()
+        script, few = b"cript" in low or b"checking your" in low, len(own) <= 6
         error = not own.isdisjoint(ERROR_KEYS) or bool(STATUS.match(raw)) or b"<" in raw
         if not (few or script or error or not own.isdisjoint(FILLER_KEYS) or len(own & LOREM_KEYS) >= 2):
             other.append(raw)

@@ -48,6 +48,7 @@ def test_messages_of_any_length(spark):
 def test_quick_tests_reject_only_what_the_grammars_reject():
     rng = random.Random(4)
     parts = "error 404 the page site not found could be located access denied something went wrong session expired please enable javascript your text here lorem ipsum title subtitle coming soon placeholder test forbidden {{ x }} undefined [INSERT X] %s Dear , . : #".split(" ")
+    parts += ["hier steht", "blindtext", "buraya metin", "aquí va el texto", "örnek metin", "platzhaltertext", "t.b.d.", "to be written", "content pending", "blah blah", "seite nicht gefunden", "bulunamadı", "no encontrada", "bad gateway", "too many requests", "are you a robot", "traceback (most recent call last)", "bir hata oluştu", "algo salió mal", "HTTP 500", "is gone", "down for maintenance", "thrown in /a on line 7"]
     for _ in range(4000):
         line = " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 7)))
         raw = line.encode()
