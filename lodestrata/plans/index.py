@@ -85,7 +85,8 @@ def index(files: DataFrame, manifest: Manifest, store: Store, provider: Provider
 
     Deletes and new points are one change of the store, and each new chunk is embedded once. The manifest is committed
     after the store, so that a failed write is tried again. With `full`, everything of the scanned projects is dropped
-    and indexed anew. `report` gets the oversized chunks. Contents of unchanged files are read to be hashed, but neither exchanged nor kept.
+    and indexed anew. `report` gets the oversized chunks. Contents are read to be hashed and once more to be chunked, and never kept; they are
+    exchanged only if the list of changed files is too large to broadcast.
     """
     ensure_checkpoint_dir(files.sparkSession)
     listing = files.select(*m.KEY, "file_hash").checkpoint()
@@ -93,7 +94,8 @@ def index(files: DataFrame, manifest: Manifest, store: Store, provider: Provider
     known = manifest.read().where(F.col("project_id").isin(scanned))
     before = known.limit(0) if full else known
     changed = m.changed_files(listing, before)
-    chunks = chunk_files(m._join(files, changed, "left_semi", "file_hash"), merge, limits=limits).checkpoint()
+    sources = files if full else m._join(files, changed, "left_semi", "file_hash")
+    chunks = chunk_files(sources, merge, limits=limits).checkpoint()
     new_chunks = m.changed_chunks(chunks, before)
     stale, deleted = m.stale_chunks(chunks, before), m.deleted_files(listing, known)
     gone = stale.unionByName(m.purged_chunks(listing, before)).select("project_id", point_id("chunk_id").alias("point_id"))
