@@ -32,8 +32,8 @@ FENCE = re.compile(r"^[ \t>]*(?:`{3,}|~{3,})")
 INLINE = re.compile(r"`[^`\n]*`|\"[^\"\n]{2,200}\"|“[^”\n]{2,200}”|«[^»\n]{2,200}»|„[^“\n]{2,200}“")
 # Syntax that only an unfilled template has.
 CERTAIN = re.compile(
-    r"\{\{\{?[^{}\n]{0,80}\}\}\}?|\$\{[^{}\n]{1,80}\}|<%[=\-]?[^%\n]{1,80}%>|\{%[^%\n]{1,80}%\}|\{\$[\w.>\[\]-]+\}|#\{[^{}\n]{1,60}\}|%[A-Z][A-Z_]{2,}%|%\(\w+\)[sd]"
-    r"|\[\[[A-Z][A-Z _]*\]\]|\[(?:INSERT|YOUR|ENTER|ADD|INSERISCI|HIER)\b[^\]\n]{0,60}\]|\[(?:insert|your|enter) [^\]\n]{1,60}\]|<(?:YOUR|INSERT|ENTER|your|insert|enter)[ _-][^<>\n]{1,60}>"
+    r"\{\{\{?[^{}\n]*\}\}\}?|\$\{[^{}\n]+\}|<%[=\-]?[^%\n]+%>|\{%[^%\n]+%\}|\{\$[\w.>\[\]-]+\}|#\{[^{}\n]+\}|%[A-Z][A-Z_]{2,}%|%\(\w+\)[sd]"
+    r"|\[\[[A-Z][A-Z _]*\]\]|\[(?:INSERT|YOUR|ENTER|ADD|INSERISCI|HIER)\b[^\]\n]*\]|\[(?:insert|your|enter) [^\]\n]+\]|<(?:YOUR|INSERT|ENTER|your|insert|enter)[ _-][^<>\n]+>"
     r"|(?<![\w_])__[A-Z][A-Z_]*?[A-Z]__(?![\w_])|@@\w+@@|##[A-Z_]+##|\bXX_[A-Z_]+_XX\b|\[object Object\]|\|[A-Z][A-Z_]+\|(?=[ ,.!])"
 )
 # Variables' names, defaults and blanks that prose may hold by itself.

@@ -77,3 +77,8 @@ def test_filled_records_by_brute_force():
 @pytest.mark.parametrize("text", ["", "   ", "\n\n", "x" * 100_000, "word " * 50_000])
 def test_edges(text):
     assert residue.judge(text.encode())[0] in (None, "filler")
+
+
+def test_variables_of_any_length():
+    for text in ("Dear {{ %s }}, hello.", "Total ${%s}.", "By <%%= %s %%> today.", "On [INSERT %s HERE]."):
+        assert residue.judge((text % ("name " * 60)).encode())[0] == "placeholder"
