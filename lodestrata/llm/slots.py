@@ -9,7 +9,7 @@ import xxhash
 
 #: What stands in a slot: a variable of certain syntax, another variable, a default or blank, a filling; or a whole page.
 CERTAIN, VARIABLE, DEFAULT, FILLED, PAGE = range(5)
-BITS = 1 << 22  # bits of the map of asked shapes
+BITS = 1 << 26  # bits of the map of asked shapes, 8 MiB; the fuller it is, the more lines are brought to the exact join in vain
 WIDEST = 3  # tokens of a filling
 SIGNS = tuple(b",.!:;()")  # signs that count as tokens; others are blanks
 TO_TOKENS = bytes(c if chr(c).isalnum() and c < 128 or c > 127 or c in SIGNS else 32 for c in bytes(range(256)).lower())
