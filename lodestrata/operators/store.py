@@ -3,6 +3,7 @@
 Rows lie in partitions of a project and a bucket of their key. A change writes only the partitions it touches, into a
 version folder of its own; a small index says which version of each partition counts, and is published by replacing one
 pointer file in a single rename. Readers see the old state or the new one, and no path that is being read is overwritten.
+There may be any number of readers, and one writer at a time.
 """
 
 from __future__ import annotations
