@@ -313,12 +313,8 @@ def language_of(path: str | None, language: str | None) -> str | None:
     return LANGUAGES.get(ending)
 
 
-def documented_functions(points: DataFrame) -> DataFrame:
-    """point_id, symbol, documentation, code, line INT: each function or method with documentation of at least six words.
-
-    The language is that of the file's extension, or of the column where there is none; other languages have no rows.
-    Overloads have a row each. Rows that repeat a point_id are one point. Null and empty contents have no rows; an empty table gives an empty result; other columns are ignored.
-    """
+def captures(points: DataFrame) -> DataFrame:
+    """The rows of `documented_functions`, once for each stored row of a point."""
     code = points.select("point_id", "file_path", "language", "symbol_type", "content").where(F.col("content").isNotNull() & ~F.coalesce(F.col("symbol_type") == "heading", F.lit(False)))
 
     def make():
@@ -331,9 +327,18 @@ def documented_functions(points: DataFrame) -> DataFrame:
 
         return read
 
-    return map_rows(code, make, "point_id string, symbol string, documentation string, code string, line int").dropDuplicates(["point_id", "symbol", "line"])
+    return map_rows(code, make, "point_id string, symbol string, documentation string, code string, line int")
+
+
+def documented_functions(points: DataFrame) -> DataFrame:
+    """point_id, symbol, documentation, code, line INT: each function or method with documentation of at least six words.
+
+    The language is that of the file's extension, or of the column where there is none; other languages have no rows.
+    Overloads have a row each. Rows that repeat a point_id are one point. Null and empty contents have no rows; an empty table gives an empty result; other columns are ignored.
+    """
+    return captures(points).dropDuplicates(["point_id", "symbol", "line"])
 
 
 def documented_symbols(points: DataFrame) -> DataFrame:
     """(point_id, symbol), once each."""
-    return documented_functions(points).select("point_id", "symbol").distinct()
+    return captures(points).select("point_id", "symbol").distinct()
