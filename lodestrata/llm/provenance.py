@@ -27,7 +27,8 @@ from lodestrata.session import ensure_checkpoint_dir, spread
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 MAX_LIBRARY_BYTES = 64 << 20
 SHINGLE = 5
-FILE_PULL, FOLDER_PULL = 0.7, 0.6  # how much of a child's label is its directory's
+FILE_PULL, FOLDER_PULL = 0.7, 0.6  # how much of a child's label is its directory's; a folder's message weighs up to log(0.7 / 0.075) = 2.2
+PRIOR = -4.0  # log odds of each label against handwritten; with one weak clue more, the folder decides
 LEAST_SHARED = 4  # shingles; fewer are a phrase, not a copy
 
 HEADER = re.compile(
@@ -115,7 +116,7 @@ def evidence(path: str, text: str, library: Library) -> tuple[float, ...]:
     path = path or ""
     base = path.rpartition("/")[2]
     ending = base.rpartition(".")[2].lower() if "." in base else ""
-    generated, minified, vendored, blob = -5.0, -5.0, -5.0, -5.0
+    generated = minified = vendored = blob = PRIOR
     size = len(text)
     comments, leading = comment_lines(text)
 

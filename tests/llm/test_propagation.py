@@ -57,3 +57,11 @@ def test_short_files_and_late_banners_are_read(spark):
     assert max(p.evidence("a/t.js", late, library)) > 0
     header = "// licence\n" * 40 + "// Code generated by gen. DO NOT EDIT.\nx()\n"
     assert p.evidence("a.go", header, library)[1] > 0
+
+
+def test_one_clue_is_decided_by_the_folder(spark):
+    clue = [float(x) for x in p.evidence("vendor/kit/w.js", "export const a = 1;\n", p.Library([]))]
+    copy, own = [0.0, -4.0, -4.0, 16.0, -4.0], [0.0] + [-4.0] * 4
+    rows = [("a", "p", "vendor/kit/w.js", *clue), *((f"a{i}", "p", f"vendor/kit/{i}.js", *copy) for i in range(5)), ("b", "q", "vendor/kit/w.js", *clue), *((f"b{i}", "q", f"vendor/kit/{i}.js", *own) for i in range(5))]
+    label = {r.point_id: r.label for r in p.propagate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert max(range(5), key=lambda k: clue[k]) == 0 and label["a"] == "vendored" and label["b"] == "handwritten"
